@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_number, is_ymd
-from ..operators import copy_diff, key_totals, load_profile, orphans
+from ..operators import copy_diff, key_totals, load_profile, orphans, unit_changes
 from ..sources import records
 from ..sources.tables import table
 
@@ -142,6 +142,28 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return _p5(spark, d).groupBy("difference").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Every premium that isn't a single one is 120 to 6,000 pounds a year.
+LOW_PENCE, HIGH_PENCE = 12_000, 600_000
+
+
+def _p6(spark: SparkSession, d: str) -> DataFrame:
+    nine = lambda c: F.right(F.trim(c), F.lit(9))
+    efas = table(spark, d, "efas0042").select(F.lit("efas0042").alias("extract_name"), "row_id", nine(F.col("polno")).alias("policy"), F.col("loaded_at").alias("at"), "premamt", "premfrq")
+    efas = unit_changes.read_amounts(efas, F.col("premamt"), F.col("premfrq"), unit_changes.Declared(100, ("M", "Q", "H", "A"))).drop("premamt", "premfrq")
+    src = table(spark, d, "src").select(F.lit("src").alias("extract_name"), "row_id", nine(F.col("polno")).alias("policy"), F.col("received_at").alias("at"), "prem_pence", "prem_freq")
+    src = unit_changes.read_amounts(src, F.col("prem_pence"), F.col("prem_freq"), unit_changes.Declared(1, ("M", "Q", "A"))).drop("prem_pence", "prem_freq")
+    return unit_changes.annual_amounts(efas.unionByName(src), F.col("policy"), F.col("at"), LOW_PENCE, HIGH_PENCE)
+
+
+def p6_annual(spark: SparkSession, d: str) -> DataFrame:
+    """Every premium in pence a year."""
+    return _p6(spark, d).select("extract_name", "row_id", "annual_pence")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p6(spark, d).where("recorded_otherwise").select("extract_name", "row_id", "annual_pence")
+
+
 def _p7(spark: SparkSession, d: str) -> DataFrame:
     norm = lambda c: F.upper(F.trim(c))
     refs = table(spark, d, "efas0042").select("load_id", "row_id", "loaded_at", norm(F.col("schno")).alias("ref"))
@@ -159,7 +181,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d).groupBy("load_id", "reason", "ref").agg(F.count(F.lit(1)).alias("n")).groupBy("load_id", "reason").agg(F.sum("n").alias("orphan_rows"), F.count("ref").alias("orphan_refs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_drift, p3_found, p3_sound, p3_report, p4_found, p4_schno_totals, p4_prodcd_totals, p5_found, p5_report, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_drift, p3_found, p3_sound, p3_report, p4_found, p4_schno_totals, p4_prodcd_totals, p5_found, p5_report, p6_found, p6_annual, p7_found, p7_report)}
 
 _YMD = "regexp_full_match({c}, '[0-9]{{8}}') AND try_strptime({c}, '%Y%m%d') IS NOT NULL AND TRY_CAST(left({c}, 4) AS INT) BETWEEN {lo} AND {hi}"
 
@@ -225,6 +247,20 @@ def _p4_sql(c: str) -> str:
  SELECT t.*, m.statcd AS mode_statcd FROM t LEFT JOIN m ON t.{c} IS NOT DISTINCT FROM m.{c}"""
 
 
+def _p6_sql(name: str, amount: str, freq: str, unit: int, codes: str) -> str:
+    return f"""SELECT '{name}' AS extract_name, row_id, CAST(round(CASE WHEN x NOT BETWEEN 11988 AND 600600 AND u IS NULL AND x * 100 BETWEEN 11988 AND 600600 THEN x * 100 WHEN x NOT BETWEEN 11988 AND 600600 AND u IS NULL AND x / 100 BETWEEN 11988 AND 600600 THEN x / 100 ELSE x END) AS BIGINT) AS annual_pence,
+ NOT plain OR u IS NOT NULL OR x NOT BETWEEN 11988 AND 600600 AS otherwise FROM (
+ SELECT row_id, u, plain, CAST(n * coalesce(u, {unit}) * k AS DECIMAL(20, 4)) AS x FROM (SELECT row_id, coalesce(regexp_full_match({amount}, '[0-9]+([.][0-9]+)?') AND {freq} IN ({codes}), false) AS plain,
+  TRY_CAST(replace(regexp_extract({amount}, '[0-9][0-9,]*([.][0-9]+)?'), ',', '') AS DECIMAL(16, 2)) AS n,
+  CASE WHEN regexp_matches({amount}, '[0-9] ?(pence|p( |/|$))') THEN 1 WHEN regexp_matches({amount}, '[0-9][kK]') THEN 100000 WHEN regexp_matches({amount}, '£|GBP|stg|pounds|/-') THEN 100 END AS u,
+  CASE WHEN regexp_matches({amount}, 'half') THEN 2 WHEN regexp_matches({amount}, 'quarter|/qtr') THEN 4 WHEN regexp_matches({amount}, 'month|/mth| pm| p[.]m[.]') THEN 12 WHEN regexp_matches({amount}, 'annum|year|/yr| pa| p[.]a[.]') THEN 1
+   WHEN {freq} IN ('M', '12', 'MTHLY', 'Monthly', 'monthly', 'mth', 'pm') THEN 12 WHEN {freq} IN ('Q', '4', 'QTR', 'Quarterly', 'qtrly', '3-monthly') THEN 4 WHEN {freq} IN ('H', '2', 'HY', 'Half-yearly', '6-monthly') THEN 2 WHEN {freq} IN ('A', '1', 'ANN', 'Annual', 'Yearly', 'pa', 'yrly') THEN 1 END AS k
+  FROM {name} WHERE {freq} IS DISTINCT FROM 'SP')) WHERE x > 0"""
+
+
+_MQHA, _MQA = "'M', 'Q', 'H', 'A'", "'M', 'Q', 'A'"
+_P6_SQL = f"WITH a AS ({_p6_sql('efas0042', 'premamt', 'premfrq', 100, _MQHA)} UNION ALL {_p6_sql('src', 'prem_pence', 'prem_freq', 1, _MQA)}) "
+
 ORACLE_SQL = {
     "p2_found": " UNION ALL ".join([f"SELECT 'violation' AS kind, '{c}' AS colname, load_id, row_id FROM efas0042 WHERE {_SQL_BAD[c](c)}" for c in ("exitdt", "statcd", "unpddt")] + [_sql_shift("exitdt", ["00000000"]), _sql_shift("statcd", list(STATUSES)), _sql_shift("unpddt", ["00000000"])]),
     "p2_profile": " UNION ALL ".join(_sql_profile(r.name) for r in EFAS_RULES),
@@ -235,6 +271,8 @@ ORACLE_SQL = {
     "p4_prodcd_totals": _p4_sql("prodcd"),
     "p5_found": _P5_SQL + "SELECT polno, difference FROM d",
     "p5_report": _P5_SQL + "SELECT difference, count(*) AS n FROM d GROUP BY 1",
+    "p6_annual": _P6_SQL + "SELECT extract_name, row_id, annual_pence FROM a",
+    "p6_found": _P6_SQL + "SELECT extract_name, row_id, annual_pence FROM a WHERE otherwise",
     "p7_found": _P7_SQL + "SELECT load_id, row_id, reason FROM o WHERE reason IS NOT NULL",
     "p7_report": _P7_SQL + "SELECT load_id, reason, count(*) AS orphan_rows, count(DISTINCT ref) AS orphan_refs FROM o WHERE reason IS NOT NULL GROUP BY 1, 2",
 }
