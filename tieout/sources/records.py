@@ -26,42 +26,32 @@ AMOUNT = r"^-?[0-9]+(\.[0-9]+)?\z"
 _SEP, _ESC = "\u0001", "\u0002"
 
 
-def _pieces(raw: Column, quote: str) -> Column:
-    return F.split(raw, quote, -1)
+def quoting_fault(pieces: Column, count: Column, delimiter: str = ",") -> Column:
+    """True where a quote neither encloses a whole field nor is doubled inside one, or isn't closed.
 
-
-def quoting_fault(raw: Column, delimiter: str = ",", quote: str = '"') -> Column:
-    """True where a quote neither encloses a whole field nor is doubled inside one, or isn't closed."""
-    n = F.size(_pieces(raw, quote))
-    starts = lambda p: F.startswith(p, F.lit(delimiter))
-    ends = lambda p: F.endswith(p, F.lit(delimiter))
+    ``pieces`` is the record split at the quote character, ``count`` their number; both should be columns,
+    not expressions, so they are computed once a record.
+    """
+    d = F.lit(delimiter)
 
     def wrong(p: Column, i: Column) -> Column:
-        outside = i % 2 == 0
-        first, last = i == 0, i == n - 1
-        fine = (p == "") | ((first | starts(p)) & (last | ends(p)))
-        return outside & ~fine
+        first, last = i == 0, i == count - 1
+        return (i % 2 == 0) & (p != "") & ~((first | F.startswith(p, d)) & (last | F.endswith(p, d)))
 
-    pieces = _pieces(raw, quote)
-    bad_piece = F.size(F.filter(F.transform(pieces, wrong), lambda x: x)) > 0
-    # '""' at the very start followed by text is an enclosed empty field with a tail; the rule above sees it
-    return F.when(F.contains(raw, F.lit(quote)), (n % 2 == 0) | bad_piece).otherwise(F.lit(False))
+    return F.when(count == 1, False).otherwise((count % 2 == 0) | F.exists(F.transform(pieces, wrong), lambda x: x))
 
 
-def fields(raw: Column, delimiter: str = ",", quote: str = '"') -> Column:
+def fields(raw: Column, pieces: Column, count: Column, delimiter: str = ",", quote: str = '"') -> Column:
     """The fields of a soundly quoted record, as an array of text; quotes removed, doubled ones halved."""
-    safe = F.replace(F.replace(raw, F.lit(_ESC), F.lit(_ESC + "b")), F.lit(_SEP), F.lit(_ESC + "a"))
-    pieces = _pieces(safe, quote)
-    n = F.size(pieces)
+    sep, esc, d = F.lit(_SEP), F.lit(_ESC), F.lit(delimiter)
+    safe = lambda p: F.replace(F.replace(p, esc, F.lit(_ESC + "b")), sep, F.lit(_ESC + "a"))
+    back = lambda p: F.replace(F.replace(p, F.lit(_ESC + "a"), sep), F.lit(_ESC + "b"), esc)
 
     def piece(p: Column, i: Column) -> Column:
-        inner = (i > 0) & (i < n - 1)
-        return F.when(i % 2 == 1, p).when(inner & (p == ""), F.lit(quote)).otherwise(F.replace(p, F.lit(delimiter), F.lit(_SEP)))
+        return F.when(i % 2 == 1, safe(p)).when((i > 0) & (i < count - 1) & (p == ""), F.lit(quote)).otherwise(F.replace(safe(p), d, sep))
 
-    quoted = F.split(F.array_join(F.transform(pieces, piece), ""), _SEP, -1)
-    plain = F.split(raw, delimiter.replace("|", r"\|"), -1)
-    back = F.transform(quoted, lambda f: F.replace(F.replace(f, F.lit(_ESC + "a"), F.lit(_SEP)), F.lit(_ESC + "b"), F.lit(_ESC)))
-    return F.when(F.contains(raw, F.lit(quote)), back).otherwise(plain)
+    quoted = F.transform(F.split(F.array_join(F.transform(pieces, piece), ""), _SEP, -1), back)
+    return F.when(count == 1, F.split(raw, f"[{delimiter}]", -1)).otherwise(quoted)
 
 
 def parse(df: DataFrame, raw: str, names: list[str], rules: dict[str, tuple[str, callable]], delimiter: str = ",", quote: str = '"') -> DataFrame:
@@ -73,7 +63,10 @@ def parse(df: DataFrame, raw: str, names: list[str], rules: dict[str, tuple[str,
     suffix ``_field``.
     """
     r = F.coalesce(F.col(f"`{raw}`"), F.lit(""))
-    with_fields = df.withColumn("__bad", quoting_fault(r, delimiter, quote)).withColumn("__f", F.when(~F.col("__bad"), fields(r, delimiter, quote)))
+    pieces, count = F.col("__pieces"), F.col("__count")
+    cut = df.withColumn("__pieces", F.split(r, quote, -1)).withColumn("__count", F.size("__pieces"))
+    with_fields = cut.withColumn("__bad", quoting_fault(pieces, count, delimiter))
+    with_fields = with_fields.withColumn("__f", F.when(~F.col("__bad"), fields(r, pieces, count, delimiter, quote))).drop("__pieces", "__count")
     count_ok = F.size("__f") == len(names)
     field = {n: F.when(count_ok, F.nullif(F.col("__f")[i], F.lit(""))) for i, n in enumerate(names)}
     out = {n if n not in df.columns else f"{n}_field": c for n, c in field.items()}
