@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
 from ..sources.tables import table
-from . import names
+from . import mixing, names, stuffing, tokenize
 
 
 def _people(spark: SparkSession, d: str) -> DataFrame:
@@ -39,5 +38,42 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return out.unionByName(_field_pairs("schname", names.variant_pairs(schemes, sch.where("schname is not null").select("id", F.col("schname").alias("name")).distinct())))
 
 
-QUERIES = {f.__name__: f for f in (p1_found,)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.token_ids(table(spark, d, "documents"))
+
+
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text's token count and whether its ids decode to it exactly, summed up per source."""
+    r = tokenize.round_trips(table(spark, d, "documents"))
+    src = table(spark, d, "documents").select("doc_id", "source")
+    return r.join(src, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.count_if("exact").alias("exact"))
+
+
+def _mixture(spark: SparkSession, d: str):
+    counts = tokenize.token_counts(table(spark, d, "documents"), ["doc_id", "source"]).persist()  # 30 bytes a record, read four times
+    weights = table(spark, d, "mix_weights")
+    return counts, mixing.plan(counts, weights), weights
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    counts, planned, _ = _mixture(spark, d)
+    return mixing.mix(counts, planned)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    counts, planned, weights = _mixture(spark, d)
+    return mixing.shares(counts, planned, weights)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    """Stuffed pages per source and reason."""
+    found = stuffing.stuffed_pages(table(spark, d, "documents"))
+    return found.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "reason").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg("stuffed_share"), 6).alias("mean_share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_report)}
 ORACLE_SQL: dict[str, str] = {}
