@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Null, zero dates and placeholders that an analyst counts as "no value". Fixed values.
-SENTINELS = ("00000000", "0000-00-00", "99999999", "N/A", "NA", "NULL", "NONE", "-", "--", "?", ".", "UNKNOWN", "00/00/0000")
+#: Values that stand for "not set" when data is profiled. Fixed values.
+SENTINELS = ("00000000", "99999999", "99991231", "0000-00-00", "9999-12-31", "N/A", "NA", "NULL", "NONE", "UNKNOWN", "-", ".", "?")
+#: Values that count as unset when a mapping's coverage is measured. Fixed values.
+UNSET = ("00000000", "")
 
 PLAIN_NUMBER = r"^[+-]?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)?(\.[0-9]*)?$"
 
@@ -23,6 +25,52 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def populated(c: Column) -> Column:
+    """Profiling's notion: neither null, blank nor a sentinel after stripping white space."""
+    t = strip(c)
+    return c.isNotNull() & (t != "") & ~t.isin(*SENTINELS)
+
+
+def is_set(c: Column) -> Column:
+    """Mapping's notion: neither null, empty nor zeros; white space is not stripped."""
+    return c.isNotNull() & ~c.cast("string").isin(*UNSET)
+
+
+def blank(c: Column) -> Column:
+    """Delivered files' notion: null or empty."""
+    return c.isNull() | (c.cast("string") == "")
+
+
+def to_double(c: Column) -> Column:
+    """A number or null. The pattern keeps out what a cast alone would accept, such as 1d, NaN or Infinity."""
+    return F.when(F.trim(c).rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), F.trim(c).try_cast("double"))
+
+
+def to_date(c: Column) -> Column:
+    """YYYYMMDD to a date; unset or impossible ones to null."""
+    return F.when(is_ymd(c), F.make_date(F.substring(c, 1, 4).try_cast("int"), F.substring(c, 5, 2).try_cast("int"), F.substring(c, 7, 2).try_cast("int")))
+
+
+def join_date(y: Column, m: Column, d: Column) -> Column:
+    """A date from parts kept in columns of their own: no year, no date; no month or day, the first; impossible, null."""
+    whole = lambda c: F.trim(c.cast("string")).try_cast("int")
+    part = lambda c: F.coalesce(F.when(whole(c) != 0, whole(c)), F.lit(1))
+    year = F.when(whole(y) > 0, whole(y))
+    text = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lpad(part(m).cast("string"), 2, "0"), F.lpad(part(d).cast("string"), 2, "0"))
+    return to_date(F.when(part(m).between(1, 12) & part(d).between(1, 31), text))
+
+
+def canonical_text(c: Column, kind: str) -> Column:
+    """How a typed value is written in a delivered file: doubles without exponents, everything else as cast."""
+    t = c.cast("string")
+    if kind not in ("double", "float"):
+        return t
+    plain = F.regexp_replace(t.cast("decimal(38,20)").cast("string"), r"0+$", "")
+    plain = F.when(F.endswith(plain, F.lit(".")), F.concat(plain, F.lit("0"))).otherwise(plain)
+    size = F.abs(c)
+    return F.when(F.contains(t, F.lit("E")) & (size >= 1e-4) & (size < 1e15), plain).otherwise(t)
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

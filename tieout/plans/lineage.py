@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,13 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """The same rows as a columnar table in the shared folder: smaller than a checkpoint, and read by column.
+
+    The table stays until the folder is cleared, since the result may be read again at any time.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
