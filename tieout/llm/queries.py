@@ -19,7 +19,7 @@ def _people(spark: SparkSession, d: str) -> DataFrame:
         F.col("birthdt").alias("born"),
         F.when(number.rlike(r"^[A-Z]{2}[0-9]{6}[A-D]\z"), number).alias("number"),
         F.when(place.rlike(r"^[A-Z]{1,2}[0-9][0-9A-Z]?[0-9][A-Z]{2}\z"), place).alias("place"),
-    ).distinct()
+    )
 
 
 def _field_pairs(field: str, pairs: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def _field_pairs(field: str, pairs: DataFrame) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     people = _people(spark, d)
     persons = names.entities(names.person_links(people))
-    out = _field_pairs("mbrname", names.variant_pairs(persons, people.select("id", "name").distinct()))
+    out = _field_pairs("mbrname", names.variant_pairs(persons, people.select("id", "name")))
     sch = table(spark, d, "esch0009").where("schref is not null").select(F.col("schref").alias("id"), "empnm", "schname", "estbdt").distinct()
     common = names.common_words(sch, "empnm", "schname")
     employers = names.entities(names.organisation_links(sch.select("id", F.col("empnm").alias("name")), common))
