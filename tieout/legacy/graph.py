@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 ENGINE = "tieout-1"
 HOPS = 4
 #: Nodes that link everything (records, programs, data stores) are reported but not passed through. Fixed values.
@@ -105,18 +107,19 @@ def search(nodes: DataFrame, text: str, limit: int = 20) -> DataFrame:
 def lineage(edges: DataFrame, start: str, hops: int = HOPS) -> DataFrame:
     """(src, dst, kind) of edges within ``hops`` of a node, either way; hubs are reached but not passed through.
 
-    One join a hop over the frontier; edges are a catalogue of code, not data.
+    One join a hop over the frontier; each hop's tables are cut in the shared folder, so plans don't grow.
     """
-    e = edges.select("src", "dst", "kind").distinct()
+    e = cut(edges.select("src", "dst", "kind").distinct())
     frontier = e.sparkSession.createDataFrame([(start,)], "node string")
     seen, found = frontier, None
     hub = lambda c: F.lit(False) | c.startswith(HUBS[0]) | c.startswith(HUBS[1]) | c.startswith(HUBS[2])
     for _ in range(hops):
         hit = e.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi").unionByName(e.join(frontier.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "kind"))
+        hit = cut(hit)
         found = hit if found is None else found.unionByName(hit)
         ends = hit.select(F.col("src").alias("node")).unionByName(hit.select(F.col("dst").alias("node"))).distinct()
-        frontier = ends.join(seen, "node", "left_anti").where(~hub(F.col("node")))
-        seen = seen.unionByName(frontier).distinct()
+        frontier = cut(ends.join(seen, "node", "left_anti").where(~hub(F.col("node"))))
+        seen = cut(seen.unionByName(frontier).distinct())
     return found.distinct()
 
 
@@ -125,6 +128,8 @@ def reach(uses: DataFrame, start: str, depth: int) -> DataFrame:
     out = frontier = uses.sparkSession.createDataFrame([(start,)], "variable string")
     for _ in range(depth):
         nxt = uses.join(frontier, "variable", "left_semi").select(F.col("depends_on").alias("variable")).distinct()
-        frontier = nxt.join(out, "variable", "left_anti")
-        out = out.unionByName(frontier).distinct()
+        frontier = cut(nxt.join(out, "variable", "left_anti"))
+        if not frontier.limit(1).count():
+            break
+        out = out.unionByName(frontier)
     return out

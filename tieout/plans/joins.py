@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A lookup side is broadcast only if its counted rows, at this many bytes a row, stay below the bound.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 ROW_BYTES = 120
 #: Rows of the large side above this share of all rows make a key hot; at most 1 / HOT_SHARE keys can be.
 HOT_SHARE = 0.01

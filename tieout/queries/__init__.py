@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import quality
+    from . import mapping, quality
 
-    return [quality]
+    return [mapping, quality]
 
 
 def all_queries() -> dict:
@@ -18,4 +18,4 @@ def all_oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark, d):
-    return all_queries()["p2_profile"](spark, d)
+    return all_queries()["check_report"](spark, d)
