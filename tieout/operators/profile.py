@@ -87,7 +87,7 @@ def dependencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("driver"), F.when(populated(q(c)), strip(q(c))).alias("value")) for c in columns if prof[c].distinct_count]))
     flags = [populated(q(c)).cast("int").alias(f"p{i}") for i, c in enumerate(dependents)]
     hits = df.select(each.alias("d"), *flags).where("d.value is not null").groupBy("d.driver", "d.value").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(len(dependents))])
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("dependent"), F.col(f"p{i}").alias("hit"), F.lit(prof[c].populated_count).alias("support")) for i, c in enumerate(dependents)]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("dependent"), F.col(f"p{i}").alias("hit"), F.lit(prof[c].populated_count).cast("bigint").alias("support")) for i, c in enumerate(dependents)]))
     long = hits.select("driver", "value", "n", pairs.alias("p")).where("p.hit > 0 and driver <> p.dependent")
     # counted before values are gathered: at most DRIVER_VALUES of them survive
     per = long.groupBy("p.dependent", "driver", "p.support").agg(F.sum("p.hit").alias("hit"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"))

@@ -431,17 +431,17 @@ def verdict_rollup(spark, d):
     return f.agg(F.when(F.count_if(bad & (F.col("severity") == "hard")) > 0, "blocked").when(F.count_if(bad) > 0, "needs_review").otherwise("certified").alias("verdict"), F.count_if(~bad).alias("passed"), F.count_if(bad).alias("failed"))
 
 
-@query("SELECT p_partkey, list_sort(list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), x -> x <> ''))) AS tokens FROM part")
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda x: x <> ''))), ' ') AS tokens FROM part")
 def tokenize(spark, d):
     p = table(spark, d, "part")
     words = F.filter(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), "[^a-z0-9]+"), lambda w: w != "")
-    return p.select("p_partkey", F.array_sort(F.array_distinct(words)).alias("tokens"))
+    return p.select("p_partkey", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("tokens"))
 
 
 _PHRASES = [("POLNO", "Policy Number"), ("COMMDT", "Policy Commencement Date"), ("EXITDT", "Policy Exit Date"), ("SCHNO", "Scheme Reference Number"), ("SCHNM", "Scheme Name"), ("PREMAMT", "Annual Premium Amount"), ("PREMFRQ", "Premium Frequency Code"), ("SUMASSD", "Sum Assured Amount")]
 _TARGETS = [("policy_reference", "policy reference"), ("commencement_date", "policy commencement date"), ("exit_date", "exit date"), ("scheme_name", "scheme name"), ("scheme_reference", "scheme reference"), ("annual_premium", "annual premium"), ("sum_assured", "sum assured")]
 _VAL = lambda rows: ", ".join(f"('{a}', '{b}')" for a, b in rows)
-_TOK = "unnest(list_distinct(list_filter(string_split(regexp_replace(lower(phrase), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x <> '')))"
+_TOK = "unnest(list_distinct(list_filter(string_split(regexp_replace(lower(phrase), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')))"
 
 
 @query(f"WITH s(name, phrase) AS (VALUES {_VAL(_PHRASES)}), t AS (SELECT name, {_TOK} AS token FROM s) SELECT token, count(DISTINCT name) AS df FROM t GROUP BY 1 HAVING count(DISTINCT name) >= 2")
@@ -495,10 +495,10 @@ def slice_fixpoint(spark, d):
     return graph.reach(spark.createDataFrame(_USES, "variable string, depends_on string"), "TOTAL", len(_USES))
 
 
-@query("SELECT 'p:' || p_partkey AS id, p_name AS label FROM part WHERE contains(lower(p_name), 'er') OR contains('p:' || p_partkey, 'er') ORDER BY length(p_name), id LIMIT 20")
+@query("SELECT 'p:' || p_partkey AS id, p_name AS label FROM part WHERE contains(lower(p_name), '1') OR contains('p:' || p_partkey, '1') ORDER BY length(p_name), id LIMIT 20")
 def kg_search(spark, d):
     p = table(spark, d, "part").select(F.concat(F.lit("p:"), "p_partkey").alias("id"), F.col("p_name").alias("label"))
-    return graph.search(p, "er")
+    return graph.search(p, "1")
 
 
 @query("SELECT l_linestatus AS state, max(l_linenumber) AS latest FROM lineitem GROUP BY 1")
