@@ -64,15 +64,24 @@ def parse(df: DataFrame, raw: str, names: list[str], rules: dict[str, tuple[str,
     """
     r = F.coalesce(F.col(f"`{raw}`"), F.lit(""))
     pieces, count = F.col("__pieces"), F.col("__count")
-    cut = df.withColumn("__pieces", F.split(r, quote, -1)).withColumn("__count", F.size("__pieces"))
-    with_fields = cut.withColumn("__bad", quoting_fault(pieces, count, delimiter))
-    with_fields = with_fields.withColumn("__f", F.when(~F.col("__bad"), fields(r, pieces, count, delimiter, quote))).drop("__pieces", "__count")
-    count_ok = F.size("__f") == len(names)
+    cut = _once(df.withColumn("__raw", r), __pieces=F.split("__raw", quote, -1))
+    cut = cut.withColumn("__count", F.size("__pieces"))
+    parted = _once(cut, __f=F.when(~quoting_fault(pieces, count, delimiter), fields(F.col("__raw"), pieces, count, delimiter, quote))).drop("__pieces", "__count", "__raw")
+    bad, count_ok = F.col("__f").isNull(), F.size("__f") == len(names)
     field = {n: F.when(count_ok, F.nullif(F.col("__f")[i], F.lit(""))) for i, n in enumerate(names)}
     out = {n if n not in df.columns else f"{n}_field": c for n, c in field.items()}
-    checks = [F.when(F.col("__bad"), F.lit("quoting")), F.when(~F.col("__bad") & ~count_ok, F.lit("column_count"))]
+    checks = [F.when(bad, F.lit("quoting")), F.when(~bad & ~count_ok, F.lit("column_count"))]
     checks += [F.when(~ok(field[n]), F.lit(reason)) for n, (reason, ok) in rules.items()]
-    return with_fields.withColumns(out | {"faults": F.array_compact(F.array(*checks))}).drop("__bad", "__f")
+    return _once(parted, faults=F.array_compact(F.array(*checks))).withColumns(out).drop("__f")
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row.
+
+    They leave a generator of one row, which filters on them and projections above them can't be merged
+    into; merged, costly expressions are evaluated once for every use.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
 def amount_ok(c: Column) -> Column:
