@@ -31,7 +31,7 @@ def test_distance_equals_the_plain_one():
 
 def test_delete_index_finds_every_near_token(spark):
     rng = random.Random(2)
-    base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(6, 9))) for _ in range(60)]
+    base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(7, 9))) for _ in range(60)]
     variants = []
     for b in base:
         i, j = sorted(rng.sample(range(len(b)), 2))
