@@ -22,7 +22,7 @@ def policies(spark):
     data = []
     for i in range(60):
         stat = "CL" if i % 8 == 0 else "LA" if i % 6 == 0 else "IF"
-        data.append((f"{i + 1000000:010d}", stat, "20190220" if stat == "CL" else "00000000", "MAT" if stat == "CL" else None, "P12" if i % 4 == 0 else None, f"{100 + i}.50", "M", "2000" + f"{i % 12 + 1:02d}01", "", f"SURNAME{i}, ANN", "  pad " if i == 3 else "x"))
+        data.append((f"{i + 1000000:010d}", stat, f"201902{i % 28 + 1:02d}" if stat == "CL" else "00000000", "MAT" if stat == "CL" else None, "P12" if i % 4 == 0 else None, f"{100 + i}.50", "M", "2000" + f"{i % 12 + 1:02d}01", "", f"SURNAME{i}, ANN", "  pad " if i == 3 else "x"))
     cols = "POLNO STATCD EXITDT EXITRSN SCHNO PREMAMT PREMFRQ COMMDT XA08 MBRNAME NOTE".split()
     return spark.createDataFrame(data, ", ".join(f"{c} string" for c in cols)).cache()
 
@@ -177,7 +177,9 @@ def test_doubles_are_delivered_without_exponents(spark):
 
 @pytest.fixture(scope="module")
 def delivered(policies, mapped):
-    return X.as_delivered(X.project(policies, {m.target: m.transform for m in mapped if m.gate != "reject" and m.transform is not None})).cache()
+    live = {m.target: m.transform for m in mapped if m.gate != "reject" and m.transform is not None}
+    defaults = {t.name: A.default_value(t, "EFAS") for t in TARGETS if t.name not in live}
+    return X.as_delivered(X.project(policies, live, defaults)).cache()
 
 
 def statuses(results):
@@ -324,7 +326,7 @@ def test_programs_are_read(spark):
     live, reached, coverage = programs.backward_slice(g, "ANN-PREM")
     assert [p.name for p in live] == ["CALC-RATE", "CALC-FACTOR", "CALC-PREM"] and "WS-RATE" in reached and coverage > 0.8
     assert programs.guarded_rules(g, "ANN-PREM")[0][1] == ("STAT-CD = 'IF'",)
-    assert programs.layout_for(g, ["A", "B", "C"]) == [("POL-NO", "A"), ("STAT-CD", "B"), ("PREM-AMT", "C")] and not programs.layout_for(g, ["A"])
+    assert programs.layout_for(g, ["A", "B", "C"]) == [("POL-NO", "A"), ("STAT-CD", "B"), ("PREM-AMT", "C")] and not programs.layout_for(g, ["A", "B"])
     estate = programs.parse_estate(spark.createDataFrame([("p", COBOL), ("q", None)], "path string, text string"))
     assert estate.where("record = 'POL-REC'").count() == 3
 
