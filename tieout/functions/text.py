@@ -12,6 +12,8 @@ SENTINELS = ("00000000", "99999999", "99991231", "0000-00-00", "9999-12-31", "N/
 #: Values that count as unset when a mapping's coverage is measured. Fixed values.
 UNSET = ("00000000", "")
 
+#: Characters Unicode calls white space. Fixed values.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 PLAIN_NUMBER = r"^[+-]?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)?(\.[0-9]*)?$"
 
 
@@ -22,7 +24,7 @@ def q(name: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Without any white space at either end (SQL trim removes blanks only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def populated(c: Column) -> Column:
@@ -54,10 +56,8 @@ def to_date(c: Column) -> Column:
 def join_date(y: Column, m: Column, d: Column) -> Column:
     """A date from parts kept in columns of their own: no year, no date; no month or day, the first; impossible, null."""
     whole = lambda c: F.trim(c.cast("string")).try_cast("int")
-    part = lambda c: F.coalesce(F.when(whole(c) != 0, whole(c)), F.lit(1))
-    year = F.when(whole(y) > 0, whole(y))
-    text = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lpad(part(m).cast("string"), 2, "0"), F.lpad(part(d).cast("string"), 2, "0"))
-    return to_date(F.when(part(m).between(1, 12) & part(d).between(1, 31), text))
+    part = lambda c: F.coalesce(F.nullif(whole(c), F.lit(0)), F.lit(1))
+    return F.when(calendar_day(whole(y), part(m), part(d)), F.make_date(whole(y), part(m), part(d)))
 
 
 def canonical_text(c: Column, kind: str) -> Column:
@@ -79,19 +79,19 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def is_ymd(c: Column, first_year: int = 1, last_year: int = 9999) -> Column:
-    """Exactly YYYYMMDD and a calendar date of the given years; null for null.
-
-    Plain arithmetic: no date parser, hence no exception per bad row.
-    """
-    part = lambda a, n: F.substring(c, a, n).try_cast("int")
-    y, m, d = part(1, 4), part(5, 2), part(7, 2)
+def calendar_day(y: Column, m: Column, d: Column) -> Column:
+    """Whether three integers are a day of the calendar. Plain arithmetic: no parser, hence no exception per bad row."""
     leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
     last = F.when(m.isin(4, 6, 9, 11), 30).when((m == 2) & leap, 29).when(m == 2, 28).otherwise(31)
-    shaped = c.rlike(r"^[0-9]{8}\z")
-    return F.when(c.isNull(), F.lit(None).cast("boolean")).otherwise(
-        F.coalesce(shaped & y.between(first_year, last_year) & m.between(1, 12) & d.between(1, last), F.lit(False))
-    )
+    return y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= last)
+
+
+def is_ymd(c: Column, first_year: int = 1, last_year: int = 9999) -> Column:
+    """Exactly YYYYMMDD and a calendar date of the given years; null for null."""
+    part = lambda a, n: F.substring(c, a, n).try_cast("int")
+    y = part(1, 4)
+    fine = c.rlike(r"^[0-9]{8}\z") & y.between(first_year, last_year) & calendar_day(y, part(5, 2), part(7, 2))
+    return F.when(c.isNull(), F.lit(None).cast("boolean")).otherwise(F.coalesce(fine, F.lit(False)))
 
 
 def canonical_number(c: Column) -> Column:
