@@ -355,3 +355,14 @@ def test_versions_live_and_supersede(spark, tmp_path):
 def test_lineage_stops_at_hubs(spark):
     e = spark.createDataFrame([("f:1", "pgm:x", "R"), ("pgm:x", "f:2", "W"), ("f:1", "f:3", "D"), ("f:3", "f:1", "D")], "src string, dst string, kind string")
     assert {(r.src, r.dst) for r in graph.lineage(e, "f:1").collect()} == {("f:1", "pgm:x"), ("f:1", "f:3"), ("f:3", "f:1")}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tieout import cli
+
+    (tmp_path / "pol.csv").write_text("POLNO,SCHNO\n" + "".join(f"{i:010d},P{i % 2}\n" for i in range(30)))
+    (tmp_path / "sch.csv").write_text("SCHREF,NAME\nP0,Acme\nP1,Bolt\n")
+    assert cli.main(["profile", str(tmp_path / "pol.csv")]) == 0
+    assert '"inferred_type": "IDENTIFIER"' in capsys.readouterr().out
+    assert cli.main(["relate", str(tmp_path / "pol.csv"), str(tmp_path / "sch.csv")]) == 0
+    assert '"primary": "pol"' in capsys.readouterr().out
