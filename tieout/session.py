@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from .plans.ship import ship
+
 
 def session(name: str = "tieout", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
@@ -23,4 +25,5 @@ def session(name: str = "tieout", master: str | None = None, **conf: str) -> Spa
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel(os.environ.get("TIEOUT_LOG", "ERROR"))
+    ship(spark)
     return spark

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.ship import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; pruning and filters reach its scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
