@@ -91,6 +91,13 @@ def test_placeholders_identify_nobody_and_common_names_need_more(spark):
     assert got.count() == 0
 
 
+def test_holders_of_a_placeholder_meet_by_name_and_birth_date(spark):
+    rows = [(i, n, b, "ZZ999999A", p) for i, n, b, _, p in _background(60)]
+    rows += [("a1", "QUIBBLETON, MARGARET", "19500102", "ZZ999999A", "X1"), ("a2", "Quibbleton, Peggy", "19500102", "ZZ999999A", "X2"), ("a3", "QUIBBLETON, PEGGY", "19500102", "AB123456C", "X3"), ("a4", "QUIBBLETON, JOHN", "19500102", "ZZ999999A", "X4")]
+    people = spark.createDataFrame(rows + [(f"y{i}", *r) for i, *r in _background(400)], PEOPLE)
+    assert {tuple(r) for r in names.person_links(people).collect() if r.a < "y"} == {("a1", "a2"), ("a1", "a3"), ("a2", "a3")}
+
+
 def test_no_people_no_links(spark):
     none = spark.createDataFrame([], PEOPLE)
     assert names.variant_pairs(names.entities(names.person_links(none)), none.select("id", "name")).count() == 0
