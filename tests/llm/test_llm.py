@@ -98,6 +98,16 @@ def test_holders_of_a_placeholder_meet_by_name_and_birth_date(spark):
     assert {tuple(r) for r in names.person_links(people).collect() if r.a < "y"} == {("a1", "a2"), ("a1", "a3"), ("a2", "a3")}
 
 
+def test_values_of_many_policies_still_link_their_person(spark):
+    rows = [(f"p{i:02d}", "QUIBBLETON, MARGARET" if i % 2 else "Quibbleton, Peggy", "19510102" if i == 43 else None if i == 44 else "19500102", "AB123456C", f"X{i}") for i in range(45)]
+    rows += [("r1", "FROSTERLEY, GWEN", "19600303", "CD123456C", None), ("r2", "Frosterley, G", "19610303", "CD123456C", None)] * 24  # few policies, delivered often
+    rows += [(f"y{i}", n, b, None, "HOT") for i, n, b, _, _ in _background(60)]
+    rows += [("q1", "WIBBLETHORP, SUSAN", "19700405", None, "HOT"), ("q2", "Wibblethorp, Sue", "19700504", None, "HOT"), ("q3", "WIBBLETHORP, JOHN", "19700405", None, "HOT")]
+    links = names.person_links(spark.createDataFrame(rows + _background(8000), PEOPLE)).where("a < 'y'")
+    of = {r.id: r.entity for r in names.entities(links).collect()}
+    assert of == {f"p{i:02d}": "p00" for i in range(45)} | {"r1": "r1", "r2": "r1", "q1": "q1", "q2": "q1"}
+
+
 def test_no_people_no_links(spark):
     none = spark.createDataFrame([], PEOPLE)
     assert names.variant_pairs(names.entities(names.person_links(none)), none.select("id", "name")).count() == 0
