@@ -217,11 +217,35 @@ def test_changepoints_are_optimal():
         assert ((x - lev) ** 2).sum() + 0.5 * parts == pytest.approx(brute_levels(x, 0.5))
 
 
-def test_long_histories_keep_their_levels_across_blocks():
+def test_both_searches_are_exact_at_any_length():
+    rng = np.random.default_rng(2)
+    for n in (2, 40, 300, 900):
+        x = np.repeat(rng.choice([0.0, 4.6, 1.0], n), 1) + rng.normal(0, 0.3, n)
+        w = rng.integers(1, 4, n).astype(float)
+        cost = lambda lev: (w * (x - lev) ** 2).sum() + 0.5 * (lev[1:] != lev[:-1]).sum()
+        assert cost(unit_changes._pelt(x, w, 0.5)) == pytest.approx(cost(unit_changes._solve(x[None], w[None], 0.5)[0]))
     x = np.r_[np.zeros(700), np.full(900, 4.6), np.zeros(3)]
     assert np.allclose(unit_changes.segment_levels(x, np.ones(len(x)), np.array([0, len(x)])), x)
 
 
+def _history(spark, amounts, factors):
+    said = lambda a: a.startswith("£")
+    df = spark.createDataFrame([("e", i, "one", datetime(2024, 1, 1 + i), a, "A") for i, a in enumerate(amounts)], "extract_name string, row_id long, s string, at timestamp, amt string, frq string")
+    read = unit_changes.read_amounts(df, F.col("amt"), F.col("frq"), unit_changes.Declared(100, ("A",)))
+    return [r.annual_pence for r in sorted(unit_changes.annual_amounts(read, F.col("s"), F.col("at"), 12000, 600000, factors).collect(), key=lambda r: r.row_id)]
+
+
+def test_shifts_decide_where_the_range_of_true_amounts_can_not(spark):
+    factors = (1.0, 100.0, 0.01, 12.0)
+    # 2,400 a year became 200 a month: both are in the range, only the shift by twelve tells
+    assert _history(spark, ["2400.00"] * 4 + ["200.00"] * 3 + ["2400.00"] * 2, factors) == [240000] * 9
+    # a slow rise is no change of unit; the level before the shift is the one to compare with
+    assert _history(spark, ["1000.00", "1100.00", "1210.00", "1331.00", "133100", "146410"], factors) == [100000, 110000, 121000, 133100, 133100, 146410]
+    # what says its unit is the anchor; a shift that matches no factor is a new amount
+    assert _history(spark, ["£200.00", "20000", "500.00"], factors) == [20000, 20000, 50000]
+    assert _history(spark, ["13000"], (1.0, 100.0, 0.01)) == [13000]
+
+
 def test_amounts_in_every_spelling(spark):
     cases = [("100.00", "M", 120000, False), ("10000", "M", 120000, True), ("£1.2k", "A", 120000, True), ("1,200p/mth", "A", 14400, True), ("GBP 50 p.a.", "M", 5000, True), ("90.00 quarterly", None, 36000, True), ("stg 10.00", "M", 12000, True), ("600.00", "HY", 120000, True), ("£95/-", "M", 114000, True), ("100.00", "SP", None, None), (None, "M", None, None), ("n/a", "M", None, None)]
     df = spark.createDataFrame([("e", i, str(i), datetime(2024, 1, 1), a, f) for i, (a, f, _, _) in enumerate(cases)], "extract_name string, row_id long, s string, at timestamp, amt string, frq string")

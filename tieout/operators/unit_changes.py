@@ -3,17 +3,17 @@
 What a value says about itself is read first: a unit, a scale and a frequency written in the
 text, and the frequency field in any of its spellings. What nothing in the row says is found
 from the history: every source's values of one subject, in order of time, as logarithms of the
-annual amount under the declared unit. An exact penalised changepoint search (optimal
-partitioning: the segmentation with the least squared error plus ``PENALTY`` per change) cuts
-the history into levels, and a level is moved by the known factor that brings it into the
-range every true amount has. The range is narrower than the smallest factor, so at most one
-factor fits; a level that none fits keeps a null factor.
-
-Histories are sorted by a shuffle on the subject and walked in batches; runs of equal levels
-are merged into one weighted point first, and all histories of equal length are solved
-together. A run-compressed history longer than ``BLOCK`` points is solved in blocks whose
-touching segments are merged where the penalty says so. A subject with more than
-``HISTORY_ROWS`` rows is walked month by month, so it doesn't make one long task.
+annual amount under the declared unit. An exact penalised changepoint search (the segmentation with
+the least squared error plus ``PENALTY`` per change; short histories by optimal partitioning, long
+ones with PELT's pruning, which loses nothing) cuts the history into levels. The heaviest level that says
+its unit, or else explains most of the history, is the anchor. From there outwards the shift to the next
+level is compared with the known factors: a shift within ``NEAR`` of one marks a change of unit, which is
+reversed. A shift that matches none is a change of the amount itself; the new level, like a lone
+one, is moved by the one factor that brings it into the range of true amounts, if there is one.
+
+Histories are sorted by a shuffle on the subject and walked in batches; runs of equal levels are merged into
+one weighted point first, and short histories of equal length are solved together. One subject's history is
+read by one task in order of time, as the search demands; nothing of it is cut.
 
 Defined results: a null amount, a single premium and a text without a number have no annual
 amount; a null subject is a history of one row; repeated rows are points of equal level;
@@ -31,9 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PENALTY = 0.5
-BLOCK = 512
-HISTORY_ROWS = 5_000_000
-CARRY = 100_000
+#: How near the logarithm of a shift must come to that of a known factor.
+NEAR = 0.25
+#: Histories up to this many points are solved together by length. A choice of plan: both searches are exact.
+TOGETHER = 64
 
 #: Spellings of payment frequencies (lower case) and their instalments a year. Fixed values.
 FREQUENCIES = {
@@ -90,17 +91,17 @@ def read_amounts(df: DataFrame, amount: Column, frequency: Column, declared: Dec
 
 
 def segment_levels(level: np.ndarray, weight: np.ndarray, bounds: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The level of each point's segment; series i is level[bounds[i]:bounds[i + 1]]. Exact up to BLOCK points."""
+    """The level of each point's segment; series i is level[bounds[i]:bounds[i + 1]]. Exact at any length."""
     out = level.copy()
     lengths = np.diff(bounds)
     for n in np.unique(lengths[lengths > 1]):
         at = bounds[:-1][lengths == n]
-        if n > BLOCK:
+        if n > TOGETHER:
             for a in at:
-                out[a : a + n] = _long(level[a : a + n], weight[a : a + n], penalty)
-            continue
-        idx = at[:, None] + np.arange(n)
-        out[idx] = _solve(level[idx], weight[idx], penalty)
+                out[a : a + n] = _pelt(level[a : a + n], weight[a : a + n], penalty)
+        else:
+            idx = at[:, None] + np.arange(n)
+            out[idx] = _solve(level[idx], weight[idx], penalty)
     return out
 
 
@@ -123,42 +124,83 @@ def _solve(x: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
     return out
 
 
-def _long(x: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
-    """Blocks of BLOCK points; segments touching at a border are merged if that costs less than a change."""
-    out = np.concatenate([_solve(x[None, a : a + BLOCK], w[None, a : a + BLOCK], penalty)[0] for a in range(0, len(x), BLOCK)])
-    for a in range(BLOCK, len(x), BLOCK):
-        l = a - 1
-        while l and out[l - 1] == out[a - 1]:
-            l -= 1
-        r = a + 1
-        while r < len(x) and out[r] == out[a]:
-            r += 1
-        wl, wr = w[l:a].sum(), w[a:r].sum()
-        if wl * wr / (wl + wr) * (out[a - 1] - out[a]) ** 2 < penalty:
-            out[l:r] = (w[l:r] * x[l:r]).sum() / (wl + wr)
+def _pelt(x: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
+    """Optimal partitioning of one long series. A start whose cost already exceeds the best one can't come back."""
+    n = len(x)
+    sw, sx, sxx = (np.concatenate([[0.0], np.cumsum(v)]) for v in (w, w * x, w * x * x))
+    best, last, live = np.zeros(n + 1), np.zeros(n + 1, dtype=np.int64), np.array([0])
+    for t in range(1, n + 1):
+        d, m = sw[t] - sw[live], sx[t] - sx[live]
+        cost = best[live] + np.maximum(sxx[t] - sxx[live] - m * m / d, 0)
+        i = np.argmin(cost)
+        best[t], last[t] = cost[i] + penalty, live[i]
+        live = np.append(live[cost <= best[t]], t)
+    out, end = np.empty(n), n
+    while end:
+        start = last[end]
+        out[start:end] = (sx[end] - sx[start]) / (sw[end] - sw[start])
+        end = start
     return out
 
 
 def _factor_of(level: np.ndarray, factors: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Index of the one factor that brings a level into the range, -1 if none does."""
+    """Index of the first factor that brings a level into the range, -1 if none does."""
     out = np.full(len(level), -1)
-    for i, f in enumerate(np.log(factors)):
+    for i, f in reversed(list(enumerate(np.log(factors)))):
         out[(level + f >= low) & (level + f <= high)] = i
     return out
 
 
+def _by_shifts(level: np.ndarray, weight: np.ndarray, said: np.ndarray, factors: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Index of the factor of each segment of one history: outwards from the anchor, by shifts between neighbours."""
+    f = np.log(factors)
+    fits = _factor_of(level, factors, low, high)
+    if said.any():
+        anchor = int(np.argmax(np.where(said, weight, -1)))
+        first = 0
+    else:
+        true = level + np.where(fits >= 0, f[fits], 0.0)
+        near = (np.abs(level[None, :, None] + f - true[:, None, None]) <= NEAR).any(axis=2)
+        worth = np.where(fits >= 0, (near * weight).sum(axis=1), -1)
+        anchor = int(np.argmax(worth + (fits == 0) * 0.5))
+        first = fits[anchor]
+    out = np.full(len(level), -1)
+    out[anchor] = first
+    for way in (range(anchor + 1, len(level)), range(anchor - 1, -1, -1)):
+        before = level[anchor] + (f[first] if first >= 0 else 0.0)
+        for i in way:
+            off = np.abs(level[i] + f - before)
+            k = int(np.argmin(off))
+            out[i] = 0 if said[i] else k if off[k] <= NEAR else fits[i]
+            before = level[i] + (f[out[i]] if out[i] >= 0 else 0.0)
+    return out
+
+
 def _walk(factors: list[float], low: float, high: float):
+    """``factors`` starts with 1: as declared."""
     f, lo, hi = np.array(factors), np.log(low) - 1e-3, np.log(high) + 1e-3
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        series, level = pdf["series"].to_numpy(), pdf["level"].to_numpy()
+        series, level, said = pdf["series"].to_numpy(), pdf["level"].to_numpy(), pdf["said"].to_numpy()
         new_series = np.r_[True, series[1:] != series[:-1]]
         new_run = new_series | np.r_[True, level[1:] != level[:-1]]
         run = np.cumsum(new_run) - 1
-        first = np.flatnonzero(new_run)
+        start = np.flatnonzero(new_run)
         weight = np.bincount(run).astype(float)
-        bounds = np.r_[run[new_series], len(first)]
-        found = _factor_of(segment_levels(level[first], weight, bounds), f, lo, hi)[run]
+        bounds = np.r_[run[new_series], len(start)]
+        levels = segment_levels(level[start], weight, bounds)
+        first_of = np.isin(np.arange(len(levels)), bounds[:-1])
+        new_segment = first_of | np.r_[True, levels[1:] != levels[:-1]]
+        segment = np.cumsum(new_segment) - 1
+        at = levels[new_segment]
+        found = _factor_of(at, f, lo, hi)
+        heavy = np.bincount(segment, weights=weight)
+        spoken = np.bincount(segment[run], weights=said) > 0
+        ends = np.r_[segment[bounds[:-1]], len(at)]
+        for i in np.flatnonzero(np.diff(ends) > 1):
+            a, b = ends[i], ends[i + 1]
+            found[a:b] = _by_shifts(at[a:b], heavy[a:b], spoken[a:b], f, lo, hi)
+        found = found[segment][run]
         return pdf.drop(columns=["series", "level"]).assign(factor=np.where(found >= 0, f[found], np.nan))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,13 +210,13 @@ def _walk(factors: list[float], low: float, high: float):
                 continue
             held.append(pdf)
             last = pdf["series"].iloc[-1]
-            if sum(map(len, held)) < CARRY and pdf["series"].iloc[0] == last:
+            if pdf["series"].iloc[0] == last and held[0]["series"].iloc[0] == last:
                 continue  # one history so far
             whole = pd.concat(held, ignore_index=True)
-            tail = whole["series"].to_numpy() == last
-            cut = len(whole) if tail.all() else int(np.argmax(tail))
-            yield solve(whole.iloc[:cut])
-            held = [whole.iloc[cut:]] if cut < len(whole) else []
+            cut = int(np.argmax(whole["series"].to_numpy() == last))
+            if cut:
+                yield solve(whole.iloc[:cut])
+            held = [whole.iloc[cut:]]
         if held:
             yield solve(pd.concat(held, ignore_index=True))
 
@@ -182,14 +224,11 @@ def _walk(factors: list[float], low: float, high: float):
 
 
 def unit_factors(points: DataFrame, factors: list[float], low: float, high: float) -> DataFrame:
-    """``points`` (series bigint, at timestamp, level double, extract_name, row_id and more) without series, at and level, plus ``factor``.
+    """``points`` (series bigint, at timestamp, level double, said boolean, extract_name, row_id and more) without series, at and level, plus ``factor``.
 
-    ``level`` is the logarithm of the amount under the declared unit; ``factors`` multiply it.
+    ``level`` is the logarithm of the amount under the declared unit, or the one it ``said``; ``factors`` multiply it and
+    start with 1.
     """
-    if points.count() > HISTORY_ROWS:
-        long = [r[0] for r in points.groupBy("series").count().where(F.col("count") > HISTORY_ROWS).select("series").collect()]
-        if long:  # at most rows / HISTORY_ROWS of them
-            points = points.withColumn("series", F.when(F.col("series").isin(long), F.xxhash64("series", F.trunc("at", "month"))).otherwise(F.col("series")))
     ordered = points.repartition("series").sortWithinPartitions("series", "at", "extract_name", "row_id").drop("at")
     kept = ", ".join(f"{c} {t}" for c, t in ordered.dtypes if c not in ("series", "level"))
     return ordered.mapInPandas(_walk(factors, low, high), f"{kept}, factor double")
