@@ -178,6 +178,26 @@ def test_differences_equal_a_plain_comparison(spark):
     assert {(r.key, r.difference) for r in got.collect()} == want and got.count() == len(want)
 
 
+def test_one_odd_key_or_outlier_keeps_leaves_narrow(spark):
+    a = spark.range(20_000).select(F.lpad(F.col("id").cast("string"), 10, "0").alias("k"), F.lit("x").alias("f"))
+    a = a.unionByName(spark.createDataFrame([("ABC-1", "x"), ("999999999999999999", "x")], "k string, f string"))
+    b = a.withColumn("f", F.when(F.col("k") == "0000012345", "y").otherwise(F.col("f")))
+    pa, pb = (copy_diff._prepared(d, F.col("k"), {"f": F.col("f")}) for d in (a, b))
+    widths = copy_diff.leaf_widths(pa.unionByName(pb))
+    leaves = copy_diff.differing_leaves(pa, pb, widths)
+    assert leaves.count() == 1 and widths[True] <= 8
+    assert pa.withColumn("leaf", copy_diff._leaf(widths)).join(leaves, ["number", "leaf"], "left_semi").count() <= 8
+    c = F.col("k")
+    assert rows(copy_diff.differences(a, b, c, c, {"f": lambda x: x})) == [("0000012345", "f", "x", "y")]
+
+
+def test_a_value_that_changes_places_with_a_null_is_a_difference(spark):
+    schema = "k string, f string, g string"
+    a, b = spark.createDataFrame([("1", None, "5")], schema), spark.createDataFrame([("1", "5", None)], schema)
+    c = F.col("k")
+    assert [r[1] for r in rows(copy_diff.differences(a, b, c, c, {"f": lambda x: x, "g": lambda x: x}))] == ["f", "g"]
+
+
 def test_one_empty_side_makes_all_of_the_other_missing(spark):
     schema = "k string, f string"
     a = spark.createDataFrame([("1", "x"), ("2", None)], schema)
@@ -297,3 +317,31 @@ def test_salted_lookup_equals_the_broadcast_one(spark, monkeypatch):
     monkeypatch.setattr(joins, "small_enough", lambda *_, **__: False)
     got = joins.lookup_join(large, lookup, "k")
     assert rows(got.select(*joins.lookup_join(large, lookup, "k").columns)) == want and got.count() == 2000
+
+
+# ------------------------------------------------------------- folders
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from tieout.plans import lineage
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    away = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://far:7077"))
+    for master in ("spark://far:7077", "yarn", "local-cluster[2,1,1024]"):
+        away.sparkContext.master = master
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            lineage.shared_folder(away)
+
+
+def test_staged_tables_are_removed_on_request(spark):
+    from pathlib import Path
+
+    from tieout.plans import lineage
+
+    t = lineage.stage(spark.range(3))
+    folder = Path(lineage._tables(spark).removeprefix("file:"))
+    assert t.count() == 3 and folder.exists()
+    lineage.remove_tables(spark)
+    assert not folder.exists() and lineage.stage(spark.range(2)).count() == 2
