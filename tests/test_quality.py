@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 from datetime import date, datetime
+from math import comb
 
 import numpy as np
 import pytest
@@ -46,10 +47,17 @@ def test_profile_of_an_empty_and_an_all_null_table(spark):
 def test_power_sums_are_exact_and_merge(spark):
     rule = load_profile.ColumnRule("v", numeric=True)
     df = spark.createDataFrame([("L1", "0.10"), ("L1", "9999.99"), ("L2", "0.10"), ("L2", "x")], "load string, v string")
+    def exact(r, k):
+        return sum(comb(k, i) * load_profile.LIMB**i * int(r[f"limb_{i}{k - i}"]) for i in range(k + 1))
+
     p = {r.load_id: r for r in load_profile.profile(df, "load", [rule]).collect()}
-    assert int(p["L1"].sum2) == 10**2 + 999999**2 and int(p["L1"].sum4) == 10**4 + 999999**4
+    assert exact(p["L1"], 2) == 10**2 + 999999**2 and exact(p["L1"], 4) == 10**4 + 999999**4 and p["L1"].sum4 == pytest.approx(999999**4)
     whole = load_profile.profile(df.withColumn("load", F.lit("all")), "load", [rule]).first()
-    assert int(whole.sum3) == int(p["L1"].sum3) + int(p["L2"].sum3)
+    assert exact(whole, 3) == exact(p["L1"], 3) + exact(p["L2"], 3)
+    # the largest amounts declared, often
+    top = spark.range(50_000).select(F.lit("L").alias("load"), F.when(F.col("id") % 2 == 0, "999999999999.99").otherwise("-999999999999.98").alias("v"))
+    t = load_profile.profile(top, "load", [rule]).first()
+    assert exact(t, 4) == 25_000 * (99999999999999**4 + 99999999999998**4) and exact(t, 1) == 25_000
 
 
 def test_calendar_dates(spark):

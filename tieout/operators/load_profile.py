@@ -3,9 +3,11 @@
 Method: each column is compressed to (load, column, value, n) first, so a value held by a
 third of all rows is one record per map task before anything moves. Null rates, exact
 distinct counts, ranges and rule violations are sums over the compressed values. Numeric
-columns carry exact power sums (n, sum x .. sum x^4 in decimals): these are mergeable, so
-moments of any union of loads follow without a second pass, and the change of a column
-between loads is the difference of means over the pooled standard deviation.
+columns carry exact power sums (n, sum x .. sum x^4 of hundredths): a value is split into two
+limbs, hi x 10^7 + lo, and the sums of products of limbs are kept as whole decimals, which hold
+ten billion rows a load of the largest values declared. They are mergeable, so moments of any union of
+loads follow without a second pass, and the change of a column between loads is the difference of means
+over the pooled standard deviation. The profile is written once and read by whatever needs it.
 
 Defined results: a null load is a load of its own without neighbours; a column with no
 value at all has null minimum, maximum and moments and 0 distinct values; an empty table
@@ -16,12 +18,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from decimal import Decimal
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import q
 
+#: Hundredths of twelve-digit amounts are two limbs of seven digits.
+LIMB = 10**7
 DECIMAL = r"^-?[0-9]{1,12}(\.[0-9]{1,4})?$"
 
 
@@ -58,9 +63,11 @@ def profile(df: DataFrame, load: str, rules: list[ColumnRule]) -> DataFrame:
     x = F.when(F.col("colname").isin(numeric) & v.rlike(DECIMAL), v.try_cast("decimal(16,4)")) if numeric else F.lit(None).cast("decimal(16,4)")
     cells = compressed(df, load, rules).withColumns({"bad": bad, "x": x})
     # powers as doubles would depend on the order of summation; hundredths as integers don't
-    h = F.round(F.col("x") * 100, 0).cast("decimal(18,0)")
-    power = lambda k: F.sum((n * _times(h, k)).cast("decimal(38,0)"))
-    return cells.groupBy("load_id", "colname").agg(
+    h = F.round(F.col("x") * 100, 0).cast("bigint")
+    cells = cells.withColumn("h", h).withColumns({"hi": F.expr(f"h div {LIMB}"), "lo": F.expr(f"h % {LIMB}")})
+    h = F.col("h")
+    product = lambda i, j: F.sum((n.cast("decimal(10,0)") * _times("hi", i) * _times("lo", j)).cast("decimal(38,0)")).alias(f"limb_{i}{j}")
+    out = cells.groupBy("load_id", "colname").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("null_count"),
         F.count("value").alias("distinct_count"),
@@ -68,20 +75,29 @@ def profile(df: DataFrame, load: str, rules: list[ColumnRule]) -> DataFrame:
         F.max("value").alias("max_value"),
         F.coalesce(F.sum(F.when(F.col("bad"), n)), F.lit(0)).alias("violation_count"),
         F.coalesce(F.sum(F.when(h.isNotNull(), n)), F.lit(0)).alias("numeric_count"),
-        power(1).alias("sum1"),
-        power(2).alias("sum2"),
-        power(3).alias("sum3"),
-        power(4).alias("sum4"),
+        *[product(i, k - i) for k in range(1, 5) for i in range(k + 1)],
     )
+    return out.withColumns({f"sum{k}": power_sum(k) for k in range(1, 5)})
 
 
-def _times(h: Column, k: int) -> Column:
-    out = h
-    for _ in range(k - 1):
-        out = (out * h).cast("decimal(38,0)")
+def power_sum(k: int) -> Column:
+    """Sum of k-th powers of hundredths from the exact limb sums, rounded once at the end."""
+    out = F.lit(0.0)
+    for i in range(k + 1):
+        out = out + F.col(f"limb_{i}{k - i}").cast("double") * float(comb(k, i) * LIMB**i)
     return out
 
 
+def _times(limb: str, k: int) -> Column:
+    """A limb's k-th power. Four limbs multiply to 28 digits, which with ten of the count fit a decimal."""
+    small = F.col(limb)  # up to the second power it fits 64 bits
+    if k == 0:
+        return F.lit(1).cast("decimal(1,0)")
+    if k < 3:
+        return (small if k == 1 else small * small).cast(f"decimal({7 * k},0)")
+    return (_times(limb, 2) * _times(limb, k - 2)).cast(f"decimal({7 * k},0)")
+
+
 def drift(profiled: DataFrame) -> DataFrame:
     """Changes against the load before, from the profile alone (loads x columns rows)."""
     w = Window.partitionBy("colname").orderBy("load_id")

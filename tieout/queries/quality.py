@@ -65,7 +65,7 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
 def p2_drift(spark: SparkSession, d: str) -> DataFrame:
     p = load_profile.drift(load_profile.profile(table(spark, d, "efas0042"), "load_id", EFAS_RULES))
     r = lambda c: F.round(F.col(c), 6).alias(c)
-    return p.select("load_id", "colname", r("null_rate_change"), "distinct_change", r("mean"), r("skewness"), r("standardised_difference"))
+    return p.select("load_id", "colname", r("null_rate_change"), "distinct_change", F.round("mean", 4).alias("mean"), F.round("skewness", 3).alias("skewness"), F.round("standardised_difference", 4).alias("standardised_difference"))
 
 
 CLAIM_FIELDS = ["clm_ref", "claim_type", "amt_paid", "settle_dt", "assessor", "unicode_col", "notes"]
@@ -181,7 +181,26 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d).groupBy("load_id", "reason", "ref").agg(F.count(F.lit(1)).alias("n")).groupBy("load_id", "reason").agg(F.sum("n").alias("orphan_rows"), F.count("ref").alias("orphan_refs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_drift, p3_found, p3_sound, p3_report, p4_found, p4_schno_totals, p4_prodcd_totals, p5_found, p5_report, p6_found, p6_annual, p7_found, p7_report)}
+def _p7_named(spark: SparkSession, d: str):
+    """References by scheme number and name together, either of which may be null; names without case and outer blanks."""
+    norm = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
+    refs = table(spark, d, "efas0042").select("load_id", "row_id", "loaded_at", norm(F.col("schno")).alias("ref"), norm(F.col("schnm")).alias("name"))
+    refs = refs.withColumn("ref", F.when(F.col("ref") != "00000000", F.col("ref")))
+    target = table(spark, d, "esch0009").select(norm(F.col("schref")).alias("ref"), norm(F.col("schname")).alias("name"), F.col("arrived_at").alias("since"), F.col("deleted_at").alias("until"))
+    return refs, target
+
+
+def p7_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans of the composite key per load, semantics and reason."""
+    refs, target = _p7_named(spark, d)
+    out = None
+    for semantics in ("simple", "partial", "full"):
+        part = orphans.orphans(refs, target, ["ref", "name"], F.col("loaded_at"), semantics).groupBy("load_id", "reason").agg(F.count(F.lit(1)).alias("orphan_rows")).withColumn("semantics", F.lit(semantics))
+        out = part if out is None else out.unionByName(part)
+    return out.select("semantics", "load_id", "reason", "orphan_rows")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_drift, p3_found, p3_sound, p3_report, p4_found, p4_schno_totals, p4_prodcd_totals, p5_found, p5_report, p6_found, p6_annual, p7_found, p7_report, p7_composite)}
 
 _YMD = "regexp_full_match({c}, '[0-9]{{8}}') AND try_strptime({c}, '%Y%m%d') IS NOT NULL AND TRY_CAST(left({c}, 4) AS INT) BETWEEN {lo} AND {hi}"
 
@@ -240,6 +259,28 @@ _P7_SQL = """WITH r AS (SELECT load_id, row_id, loaded_at, upper(trim(schno)) AS
 """
 
 
+def _p7_composite_sql() -> str:
+    """Each reference against the records that agree on its non-null columns."""
+    late = "r.loaded_at IS NULL OR since IS NULL OR since <= r.loaded_at"
+    sound = f"({late}) AND (r.loaded_at IS NULL OR until IS NULL OR until > r.loaded_at)"
+    parts = []
+    for mask, on in (("11", "t.ref = r.ref AND t.name = r.name"), ("10", "t.ref = r.ref"), ("01", "t.name = r.name")):
+        has = f"(ref IS {'NOT ' if mask[0] == '1' else ''}NULL AND name IS {'NOT ' if mask[1] == '1' else ''}NULL)"
+        parts.append(f"SELECT '{mask}' AS mask, r.load_id, r.row_id, count(t.ok) AS hits, bool_or(t.ok AND ({late})) AS begun, bool_or(t.ok AND {sound}) AS sound FROM (SELECT * FROM r WHERE {has}) r LEFT JOIN (SELECT *, true AS ok FROM t) t ON {on} GROUP BY r.load_id, r.row_id")
+    reason = "CASE WHEN hits = 0 THEN 'missing' WHEN sound THEN NULL WHEN NOT begun THEN 'late' ELSE 'deleted' END"
+    pick = lambda s, where, why=reason: f"SELECT '{s}' AS semantics, load_id, {why} AS reason FROM m WHERE {where}"
+    every = [pick("simple", "mask = '11'"), pick("partial", "true"), pick("full", "mask = '11'"), pick("full", "mask <> '11'", "'partial'")]
+    return f"""WITH r AS (SELECT load_id, row_id, loaded_at, CASE WHEN upper(trim(schno)) NOT IN ('', '00000000') THEN upper(trim(schno)) END AS ref, nullif(upper(trim(schnm)), '') AS name FROM efas0042),
+ t AS (SELECT nullif(upper(trim(schref)), '') AS ref, nullif(upper(trim(schname)), '') AS name, arrived_at AS since, deleted_at AS until FROM esch0009), m AS ({' UNION ALL '.join(parts)}),
+ o AS ({' UNION ALL '.join(every)}) SELECT semantics, load_id, reason, count(*) AS orphan_rows FROM o WHERE reason IS NOT NULL GROUP BY 1, 2, 3"""
+
+
+def _sql_drift(c: str) -> str:
+    x = f"CASE WHEN regexp_full_match({c}, '-?[0-9]{{1,12}}([.][0-9]{{1,4}})?') THEN CAST({c} AS DECIMAL(18, 4)) END" if c in _SQL_NUMERIC else "CAST(NULL AS DOUBLE)"
+    return f"""SELECT load_id, '{c}' AS colname, 1.0 - count({c}) / count(*) AS nr, count(DISTINCT {c}) AS dc, avg({x}) AS mean, var_pop(CAST({x} AS DOUBLE)) AS v,
+ avg(pow(CAST({x} AS DOUBLE) - m, 3)) AS m3 FROM (SELECT load_id, {c}, avg(CAST({x} AS DOUBLE)) OVER (PARTITION BY load_id) AS m FROM efas0042 WHERE load_id IS NOT NULL) GROUP BY load_id"""
+
+
 def _p4_sql(c: str) -> str:
     return f"""WITH t AS (SELECT {c}, count(*) AS row_count, count(DISTINCT polno) AS policies, count(DISTINCT statcd) AS statuses, CAST(sum(TRY_CAST(sumassd AS BIGINT)) AS BIGINT) AS sum_assured,
   quantile_disc(TRY_CAST(sumassd AS BIGINT), 0.5) AS p50_sumassd, quantile_disc(TRY_CAST(sumassd AS BIGINT), 0.9) AS p90_sumassd FROM efas0042 GROUP BY {c}),
@@ -264,6 +305,11 @@ _P6_SQL = f"WITH a AS ({_p6_sql('efas0042', 'premamt', 'premfrq', 100, _MQHA)} U
 ORACLE_SQL = {
     "p2_found": " UNION ALL ".join([f"SELECT 'violation' AS kind, '{c}' AS colname, load_id, row_id FROM efas0042 WHERE {_SQL_BAD[c](c)}" for c in ("exitdt", "statcd", "unpddt")] + [_sql_shift("exitdt", ["00000000"]), _sql_shift("statcd", list(STATUSES)), _sql_shift("unpddt", ["00000000"])]),
     "p2_profile": " UNION ALL ".join(_sql_profile(r.name) for r in EFAS_RULES),
+    "p2_drift": "WITH p AS (" + " UNION ALL ".join(_sql_drift(r.name) for r in EFAS_RULES) + """), b AS (SELECT *, lag(nr) OVER w AS nr0, lag(dc) OVER w AS dc0, lag(mean) OVER w AS mean0, lag(v) OVER w AS v0 FROM p WINDOW w AS (PARTITION BY colname ORDER BY load_id))
+ SELECT load_id, colname, round(nr - nr0, 6) AS null_rate_change, dc - dc0 AS distinct_change, round(mean, 4) AS mean, CASE WHEN v > 0 THEN round(m3 / pow(v, 1.5), 3) END AS skewness,
+  CASE WHEN v + v0 > 0 THEN round((mean - mean0) / sqrt((v + v0) / 2), 4) END AS standardised_difference FROM b""",
+    "p3_report": _CLAIMS_SQL + "SELECT c.file_id, coalesce(reason, 'sound') AS reason, count(*) AS n FROM v JOIN claims99_raw c USING (rec_id) GROUP BY 1, 2",
+    "p7_composite": _p7_composite_sql(),
     "p3_found": _CLAIMS_SQL + "SELECT rec_id, reason FROM v WHERE reason IS NOT NULL",
     "p3_sound": _CLAIMS_SQL + f"SELECT rec_id, {', '.join(CLAIM_FIELDS)} FROM v WHERE reason IS NULL",
     "p4_found": " UNION ALL ".join(f"SELECT '{c}' AS colname, {c} AS keyvalue FROM efas0042 WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) >= 0.02 * (SELECT count(*) FROM efas0042)" for c in ("schno", "prodcd")),
