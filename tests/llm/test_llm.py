@@ -312,18 +312,62 @@ def test_planted_pages_are_told_apart(spark):
     assert {r.doc_id for r in stuffing.stuffed_pages(df).collect()} == set(STUFFED)
 
 
-def test_curves_equal_a_plain_fit(spark):
+#: Ordinary prose, and stuffed pages, in languages the corpus doesn't hold.
+UNKNOWN = {
+    "pl": "Spółdzielnia zebrała się we wtorek, żeby omówić budżet na przyszły rok. Po długiej dyskusji członkowie postanowili odłożyć remont dachu, ponieważ koszt okazał się wyższy niż przewidywano. Skarbnik zapewnił, że pieniądze wystarczą na bieżące naprawy, a resztę uda się pozyskać z dotacji gminy.",
+    "ru": "Вчера вечером собрание жильцов продолжалось почти три часа. Председатель объяснил, почему ремонт крыши пришлось отложить до весны. Некоторые соседи были недовольны, однако большинство согласилось подождать, пока подрядчик не пришлёт новую смету. Следующая встреча назначена на конец месяца.",
+    "hi": "कल शाम को गाँव की सभा में नए विद्यालय के बारे में लंबी चर्चा हुई। प्रधान ने बताया कि भवन का काम अगले महीने शुरू होगा। कुछ लोगों ने पूछा कि पैसा कहाँ से आएगा, और उन्हें बताया गया कि सरकार आधा खर्च देगी। बाकी धन चंदे से जुटाया जाएगा।",
+    "zh": "昨天晚上，村民们在学校的礼堂里开了一次会，讨论明年春天修路的计划。村长说，工程大约需要三个月，期间车辆必须绕行。有人担心费用太高，不过大多数人认为这条路早就该修了。会议结束以后，大家一起去看了施工图。",
+    "es": "La asamblea de vecinos se reunió el martes para hablar del presupuesto del año próximo. Tras una larga discusión decidieron aplazar la reparación del tejado, porque el coste resultó más alto de lo previsto. El tesorero aseguró que el dinero alcanza para lo urgente.",
+}
+UNKNOWN_STUFFED = {
+    "pl": "tania emerytura najlepsza emerytura szybka emerytura online emerytura kalkulator emerytura " * 6,
+    "ru": "дешёвая пенсия лучшая пенсия быстрая пенсия онлайн пенсия калькулятор пенсия " * 6,
+    "hi": "सस्ती पेंशन सबसे अच्छी पेंशन तेज पेंशन ऑनलाइन पेंशन " * 8,
+    "zh": "便宜养老金最好养老金快速养老金在线养老金" * 12,
+}
+
+
+@pytest.mark.parametrize("beside", [False, True])
+def test_languages_the_corpus_does_not_know(spark, beside):
+    docs = [(f"ok {k}", t, k) for k, t in UNKNOWN.items()] + [(f"bad {k}", t, None) for k, t in UNKNOWN_STUFFED.items()]
+    if beside:  # a corpus of another language
+        rng = random.Random(11)
+        who, did, what, when = (x.split("|") for x in ("The trustees|Our secretary|A member|The actuary|An auditor|Her adviser|His employer|The office", "found|asked about|had lost|signed|sent back|checked|would not accept|paid for", "the old file|two policies|an unpaid premium|the wrong form|a late claim|their records|every certificate|one account", "before the renewal|after a long delay|when the year ended|and told nobody|because it was due|in the spring|at last|for no reason"))
+        docs += [(f"en {i}", " ".join(f"{rng.choice(who)} {rng.choice(did)} {rng.choice(what)} {rng.choice(when)}." for _ in range(8)), "en") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id string, text string, lang string")
+    got = {r.doc_id for r in stuffing.stuffed_pages(df, lang_col="lang").collect()}
+    assert got == {f"bad {k}" for k in UNKNOWN_STUFFED}
+
+
+def test_a_corpus_shows_its_own_prose_words_and_keywords(spark):
+    rng = random.Random(12)
+    words = "ka lo mi nu pe ro si ta vu wa xo zy".split()
+    prose = lambda: " ".join(" ".join(rng.sample(words, 6) + [f"w{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}x" for _ in range(5)]) + "." for _ in range(6))
+    docs = [(f"p{i}", prose(), "qq") for i in range(600)] + [(f"s{i}", " ".join(["drel", rng.choice(["brok", "flim", "gant", "hurp"])] * 25), "qq") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id string, text string, lang string")
+    prose_words, keys = stuffing.languages(df.select("text", "lang"))["LATIN:qq"]
+    assert set(words) <= prose_words and "drel" in keys
+    assert {r.doc_id for r in stuffing.stuffed_pages(df, lang_col="lang").collect()} == {f"s{i}" for i in range(40)}
+
+
+def test_curves_equal_a_plain_fit():
     import math
-    from collections import Counter
-
-    words = "alpha alpha alpha beta beta gamma delta epsilon zeta zeta eta theta".split()
-    got = stuffing.curves(stuffing.tokens(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"))).first()
-    f = [n for _, n in sorted(Counter(words).items(), key=lambda kv: (-kv[1], kv[0]))]
-    x, y = [math.log(i + 1) for i in range(len(f))], [math.log(n) for n in f]
-    mx, my = sum(x) / len(x), sum(y) / len(y)
-    slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
-    res = math.sqrt(sum((b - my - slope * (a - mx)) ** 2 for a, b in zip(x, y)) / len(x))
-    assert got.slope == pytest.approx(slope) and got.residual == pytest.approx(res) and got.length == pytest.approx(len(f) / len(words))
+    import statistics
+
+    rng = random.Random(13)
+    for _ in range(50):
+        f = sorted((rng.choice([1, 1, 1, 2, 3, 9]) for _ in range(rng.randint(3, 40))), reverse=True)
+        x, y = [math.log(i + 1) for i in range(len(f))], [math.log(n) for n in f]
+        slope = statistics.linear_regression(x, y)
+        res = math.sqrt(sum((b - slope.intercept - slope.slope * a) ** 2 for a, b in zip(x, y)) / len(x))
+        assert stuffing.curve(rng.sample(f, len(f))) == pytest.approx((slope.slope, res, len(f) / sum(f)), abs=1e-9)
+
+
+def test_long_and_odd_texts(spark):
+    docs = [(1, PROSE * 3000), (2, "x" * 300_000), (3, "a " * 100_000), (4, "。" * 50), (5, "\ue000"), (6, "12 34 " * 30)]
+    got = {r.doc_id for r in stuffing.stuffed_pages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {3}
 
 
 def test_no_pages(spark):

@@ -66,12 +66,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return stuffing.stuffed_pages(table(spark, d, "documents")).select("doc_id")
+    return stuffing.stuffed_pages(table(spark, d, "documents"), lang_col="lang").select("doc_id")
 
 
 def p10_report(spark: SparkSession, d: str) -> DataFrame:
     """Stuffed pages per source and reason."""
-    found = stuffing.stuffed_pages(table(spark, d, "documents"))
+    found = stuffing.stuffed_pages(table(spark, d, "documents"), lang_col="lang")
     return found.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "reason").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg("stuffed_share"), 6).alias("mean_share"))
 
 
