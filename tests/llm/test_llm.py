@@ -277,6 +277,19 @@ def test_weights_move_along_the_schedule(spark):
     assert abs((late.source == "b").mean() - expected) < 0.02 and abs((early.source == "b").mean() - (1 - expected)) < 0.02
 
 
+def test_a_schedule_of_the_callers(spark):
+    counts = [(i, "a" if i % 2 else "b", 10) for i in range(8000)]
+    c = spark.createDataFrame(counts, "doc_id long, source string, n_tokens long")
+    w = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    k = spark.createDataFrame([("a", 0.0, 2.0), ("a", 0.5, 2.0), ("a", 0.500001, 0.0), ("a", 1.0, 0.0), ("b", 0.0, 0.0), ("b", 0.25, 1.0), ("b", 1.0, 1.0), ("x", 0.0, 1.0)], "source string, t double, weight double")
+    m = mixing.mix(c, mixing.plan(c, w, schedule=k)).toPandas()
+    assert len(m) == 8000 and m.position.between(0, 1).all()
+    a, b = m[m.source == "a"].position, m[m.source == "b"].position
+    assert a.max() <= 0.5001 and abs((a < 0.25).mean() - 0.5) < 0.01
+    # of b's weight 1/8 lies before 0.25 and the rest is level
+    assert abs((b < 0.25).mean() - 0.125 / 0.875) < 0.01 and abs((b < 0.625).mean() - 0.5 / 0.875) < 0.01
+
+
 def test_nothing_to_mix(spark):
     c, w, p = _mix(spark, [], [("a", 1.0, 1)])
     assert mixing.mix(c, p).count() == 0 and mixing.shares(c, p, w).first().reached_share is None

@@ -5,9 +5,9 @@ share. Demand up to t is the integral of the weight times the mixture's size; a
 cumulative token offset c of its source is trained at the t where demand reaches c, so positions
 are found by inverting the schedule's integral, and records are range-sorted by position.
 
-Schedules are linear: w_s(t) = share_s (1 + g_s (2 t - 1)), with g_s in [-1, 1] and
-sum share_s g_s = 0, so the weights of all sources add up to 1 at every t. The integral over
-time is quadratic in t and inverted in closed form.
+A schedule is the caller's: knots (t, weight) a source, joined by straight lines, scaled so that their integral is
+the target share. Without one, w_s(t) = share_s (1 + g_s (2 t - 1)), with g_s in [-1, 1] and sum share_s g_s = 0, so
+the weights of all sources add up to 1 at every t. The integral is quadratic between knots and inverted in closed form.
 
 The mixture is as large as the caps allow: its size is the least over sources of
 max_repeats x tokens / share. A source is passed through in a fixed pseudo-random order as many
@@ -23,7 +23,7 @@ less than one record.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets of a source's order. A source of 1e10 records has 2.4 million a bucket.
@@ -32,11 +32,31 @@ BUCKETS = 4096
 SLOPE = 0.5
 
 
-def plan(counts: DataFrame, weights: DataFrame, slope: float = SLOPE) -> DataFrame:
-    """One row per source that takes part: share, max_repeats, tokens, demand, passes, rest, g.
+def _segments(knots: Column) -> Column:
+    """Knots (t, w) in order of t to pieces (t0, t1, w0, w1, from_, whole): a piece's ends, the integral before it and that of all."""
+    n = F.size(knots)
+    pieces = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.element_at(knots, i)["t"].alias("t0"), F.element_at(knots, i + 1)["t"].alias("t1"), F.element_at(knots, i)["w"].alias("w0"), F.element_at(knots, i + 1)["w"].alias("w1")))
+    area = lambda x: (x["w0"] + x["w1"]) / 2 * (x["t1"] - x["t0"])
+    upto = lambda some: F.aggregate(some, F.lit(0.0), lambda acc, x: acc + area(x))
+    return F.transform(pieces, lambda x, i: F.struct(x["t0"].alias("t0"), x["t1"].alias("t1"), x["w0"].alias("w0"), x["w1"].alias("w1"), upto(F.slice(pieces, F.lit(1), i)).alias("from_"), upto(pieces).alias("whole")))
+
+
+def _time_of(u: Column, segments: Column) -> Column:
+    """The t in [0, 1] at which the schedule's integral reaches the share ``u`` of the whole."""
+    at = lambda x: u * x["whole"]
+    x = F.element_at(F.filter(segments, lambda x: (x["from_"] <= at(x)) & (x["t1"] > x["t0"])), -1)
+    rest, d = at(x) - x["from_"], x["t1"] - x["t0"]
+    # w0 y + (w1 - w0) y^2 / 2 d = rest, in the form that holds for a level piece too
+    root = x["w0"] + F.sqrt(F.greatest(x["w0"] * x["w0"] + 2 * (x["w1"] - x["w0"]) / d * rest, F.lit(0.0)))
+    return F.least(x["t0"] + F.when(root > 0, 2 * rest / root).otherwise(0.0), x["t1"])
+
+
+def plan(counts: DataFrame, weights: DataFrame, slope: float = SLOPE, schedule: DataFrame | None = None) -> DataFrame:
+    """One row per source that takes part: share, max_repeats, tokens, demand, passes, rest, g, segments.
 
     ``counts``: (source, n_tokens, ...) per record; ``weights``: (source, target_share, max_repeats), a
-    handful of rows. Sources whose records may be repeated more (the small, curated ones) gain weight over
+    handful of rows; ``schedule``: (source, t, weight), knots from t = 0 to t = 1 with weights of at least 0 that aren't all
+    0 (of several at one t their mean; a jump is two knots close together); sources without knots keep the line. In the default line, sources whose records may be repeated more (the small, curated ones) gain weight over
     training time, the others lose it.
     """
     sizes = counts.where("n_tokens > 0 and source is not null").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("records"))
@@ -49,13 +69,20 @@ def plan(counts: DataFrame, weights: DataFrame, slope: float = SLOPE) -> DataFra
     p = p.withColumns({"passes": F.floor(F.col("demand") / F.col("tokens")).cast("bigint"), "rest": F.col("demand") % F.col("tokens")})
     p = p.withColumn("lean", F.col("max_repeats") - F.sum(F.col("share") * F.col("max_repeats")).over(every))
     most = F.max(F.abs("lean")).over(every)
-    return p.withColumn("g", F.when(most > 0, slope * F.col("lean") / most).otherwise(0.0)).drop("lean")
+    p = p.withColumn("g", F.when(most > 0, slope * F.col("lean") / most).otherwise(0.0)).drop("lean")
+    knot = lambda t, w: F.struct(F.lit(t).cast("double").alias("t"), w.cast("double").alias("w"))
+    line = F.array(knot(0.0, 1 - F.col("g")), knot(1.0, 1 + F.col("g")))
+    if schedule is None:
+        return p.withColumn("segments", _segments(line))
+    one = F.struct(F.col("t").cast("double").alias("t"), F.col("weight").cast("double").alias("w"))
+    given = schedule.where("source is not null and t between 0 and 1 and weight >= 0").groupBy("source", "t").agg(F.avg("weight").alias("weight")).groupBy("source").agg(F.array_sort(F.collect_list(one)).alias("knots"))  # as many as the caller wrote
+    return p.join(F.broadcast(given), "source", "left").withColumn("segments", _segments(F.coalesce("knots", line))).drop("knots")
 
 
 def mix(counts: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
     """(source, doc_id, copy, n_tokens, position): every use of every record, sorted by position in [0, 1]."""
     order = F.xxhash64(F.lit(seed), "doc_id")
-    recs = counts.where("n_tokens > 0").join(F.broadcast(planned.select("source", "tokens", "demand", "passes", "rest", "g")), "source")
+    recs = counts.where("n_tokens > 0").join(F.broadcast(planned.select("source", "tokens", "demand", "passes", "rest", "segments")), "source")
     recs = recs.withColumns({"order": order, "bucket": F.pmod(F.shiftrightunsigned(order, 40), F.lit(BUCKETS))})
     # buckets must follow the order used inside them: (bucket, order) is the order
     sums = recs.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("bt"))
@@ -68,9 +95,7 @@ def mix(counts: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
     uses = recs.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     at = (F.col("copy") - 1) * F.col("tokens") + F.col("offset") + F.col("n_tokens") / 2
     u = F.least(at / F.col("demand"), F.lit(1.0))
-    g = F.col("g")
-    # u = (1 - g) t + g t^2
-    t = F.when(F.abs(g) < 1e-9, u).otherwise((-(1 - g) + F.sqrt((1 - g) * (1 - g) + 4 * g * u)) / (2 * g))
+    t = _time_of(u, F.col("segments"))
     return uses.select("source", "doc_id", F.col("copy").cast("int").alias("copy"), "n_tokens", t.alias("position")).orderBy("position", "doc_id", "copy")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import stage
 from ..sources.tables import table
 from . import mixing, names, stuffing, tokenize
 
@@ -50,7 +51,7 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str):
-    counts = tokenize.token_counts(table(spark, d, "documents"), ["doc_id", "source"]).persist()  # 30 bytes a record, read four times
+    counts = stage(tokenize.token_counts(table(spark, d, "documents"), ["doc_id", "source"]))  # texts are encoded once; 30 bytes a record, read four times
     weights = table(spark, d, "mix_weights")
     return counts, mixing.plan(counts, weights), weights
 

@@ -5,7 +5,8 @@ copied. Texts pass through in Arrow batches, one encoder per Python worker. A lo
 the tokenizer's own splitting pattern always has a boundary: between a character that isn't white
 space and white space after it. No pattern alternative has white space after anything else, so
 pieces on either side are split exactly as in the whole text and the ids are the same; the
-encoder then never sees more than about ``CHUNK`` characters at once, however long the text.
+encoder then sees little more than ``CHUNK`` characters at once, however long the text, save where a text has no
+white space: such a run has no boundary that is always safe and goes to the encoder whole.
 
 Defined results: null and empty texts have an empty list of ids, never null; strings that look
 like special tokens are ordinary text; decoding joins the raw bytes of all ids before reading them
