@@ -11,6 +11,7 @@ import json
 import time
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,10 @@ class Store:
     def _read(self, table: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
-        except Exception:  # nothing written yet
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)  # nothing written yet
 
     def _append(self, table: str, rows: list[tuple], schema: str) -> None:
         if rows:
@@ -107,19 +110,18 @@ def search(nodes: DataFrame, text: str, limit: int = 20) -> DataFrame:
 def lineage(edges: DataFrame, start: str, hops: int = HOPS) -> DataFrame:
     """(src, dst, kind) of edges within ``hops`` of a node, either way; hubs are reached but not passed through.
 
-    One join a hop over the frontier; each hop's tables are cut in the shared folder, so plans don't grow.
+    One join a hop over the frontier; each hop's edges are cut in the shared folder, so plans don't grow.
     """
     e = cut(edges.select("src", "dst", "kind").distinct())
     frontier = e.sparkSession.createDataFrame([(start,)], "node string")
     seen, found = frontier, None
     hub = lambda c: F.lit(False) | c.startswith(HUBS[0]) | c.startswith(HUBS[1]) | c.startswith(HUBS[2])
     for _ in range(hops):
-        hit = e.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi").unionByName(e.join(frontier.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "kind"))
-        hit = cut(hit)
+        hit = cut(e.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi").unionByName(e.join(frontier.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "kind")))
         found = hit if found is None else found.unionByName(hit)
-        ends = hit.select(F.col("src").alias("node")).unionByName(hit.select(F.col("dst").alias("node"))).distinct()
-        frontier = cut(ends.join(seen, "node", "left_anti").where(~hub(F.col("node"))))
-        seen = cut(seen.unionByName(frontier).distinct())
+        ends = hit.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        frontier = ends.join(seen, "node", "left_anti").where(~hub(F.col("node")))
+        seen = seen.unionByName(ends)
     return found.distinct()
 
 

@@ -11,10 +11,10 @@ import json
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import q
+from ..functions.text import blank, q
 from ..plans import transforms as X
 from ..plans.checks import HARD, SOFT, Check, Result, run, verdict
 from . import conformance as C
@@ -52,10 +52,17 @@ def mapping_report(maps: list[Mapping], targets: list[Target], source: DataFrame
         return "blocked", out, maps
     live = [m for m in maps if m.gate != "reject" and m.transform is not None]
     t = source.select(*[q(c).alias(f"__src_{c}") for c in source.columns], *[m.transform.column_of().alias(m.target) for m in live])
+    out.append(transforms_execute(t, live))
+    if out[-1].status == "fail":
+        return "blocked", out, maps
+    n, d = source.count(), t.count()
+    out.append(Result("row_count_preserved", "grain", HARD, "pass" if n == d else "fail", n, abs(n - d), "SELECT count(*)"))
     checks = []
     have = {m.target for m in live}
     for a in targets:
-        if a.name not in have:
+        if a.name not in have and not a.nullable:
+            out.append(Result(f"required_present:{a.name}", "completeness", SOFT, "warn", 0, 0, "", a.name, "required, but unmapped"))
+        elif a.name not in have:
             out.append(skipped(f"required_present:{a.name}", "completeness", a.name, "unmapped"))
         elif a.nullable:
             out.append(skipped(f"required_present:{a.name}", "completeness", a.name, "nullable"))
@@ -81,11 +88,32 @@ def mapping_report(maps: list[Mapping], targets: list[Target], source: DataFrame
     return v, out, demoted
 
 
-def key_check(df: DataFrame, key: str) -> Result:
+def transforms_execute(target: DataFrame, live: list[Mapping]) -> Result:
+    """Whether every transformation runs on all rows: one that analyses may still fail on a value. All run in one job; only if
+    that fails is each tried by itself, to name the ones at fault."""
+    def fails(names: list[str]) -> str:
+        try:
+            target.select(*[q(a) for a in names]).write.format("noop").mode("overwrite").save()
+            return ""
+        except Exception as e:  # whatever a value made the engine raise is the finding
+            return str(e).splitlines()[0][:200]
+
+    names = [m.target for m in live]
+    bad = {a: why for a in names if (why := fails([a]))} if names and fails(names) else {}
+    return Result("transforms_execute", "wellformed", HARD, "fail" if bad else "pass", len(names), len(bad), "noop", sample=tuple(f"{a}: {why}" for a, why in bad.items())[:10])
+
+
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    """One row (nulls, distinct_keys, row_count, status) of a key's integrity."""
     c = q(key)
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(c.isNull() | (c.cast("string") == "")).alias("nulls"), F.countDistinct(c).alias("d")).first()
-    bad = r.nulls + max(0, r.n - r.nulls - r.d)
-    return Result("key_unique_not_null", "key_integrity", HARD, "fail" if bad else "pass", r.n, bad, f"SELECT count(*), count_if({X.quoted(key)} IS NULL), count(DISTINCT {X.quoted(key)})", key, f"{r.nulls} null, {r.n - r.nulls - r.d} repeated")
+    r = df.agg(F.count_if(c.isNull() | (c.cast("string") == "")).alias("nulls"), F.countDistinct(F.nullif(c.cast("string"), F.lit(""))).alias("distinct_keys"), F.count(F.lit(1)).alias("row_count"))
+    return r.withColumn("status", F.when((F.col("nulls") == 0) & (F.col("distinct_keys") == F.col("row_count")), "pass").otherwise("fail"))
+
+
+def key_check(df: DataFrame, key: str) -> Result:
+    r = key_counts(df, key).first()
+    repeated = r.row_count - r.nulls - r.distinct_keys
+    return Result("key_unique_not_null", "key_integrity", HARD, r.status, r.row_count, r.nulls + repeated, f"SELECT count(*), count_if({X.quoted(key)} IS NULL), count(DISTINCT {X.quoted(key)})", key, f"{r.nulls} null, {repeated} repeated")
 
 
 def delivered_checks(targets: list[Target], columns: list[str]) -> tuple[list[Check], list[Result]]:
@@ -243,42 +271,62 @@ def certify(rules: list[Rule], decisions: dict[str, str], who: str, targets: lis
 
 
 def reconcile(rules: list[Rule], source: DataFrame, delivered: DataFrame, maps: list[Mapping], targets: list[Target]) -> tuple[str, list[Result]]:
-    """Runs enabled certified rules; a rule that can't run is skipped with its reason, never lost."""
+    """Runs enabled certified rules; a rule that can't run is skipped with its reason, never lost.
+
+    All totals and conditions of a side are one aggregate, all category profiles one more job; only an ``aggregate_by`` has a job
+    of its own, for it has groups of its own.
+    """
     by = {m.target: m for m in maps if m.transform is not None}
     kind = {t.name: t.type.lower() for t in targets}
-    out: list[Result] = []
-    res = lambda r, name, bad, total, why="", sample=(): Result(name, r.kind.split(":")[0], r.severity, "fail" if bad else "pass", total, bad, r.kind, r.attribute, why, tuple(sample))
-    profiles: list[Rule] = []
-    conditions: list[tuple[Rule, Check]] = []
+    name_of = lambda r: r.kind if r.kind.startswith("control_total") else f"{r.kind}:{r.attribute or r.params.get('attribute') or r.params.get('column', '')}"
+    out: list[Result | None] = []
+    asked: dict[str, dict[str, Column]] = {"s": {}, "d": {}}
+    late = []  # (place in out, what makes the result of both sides' totals)
+
+    def ask(side: str, c: Column) -> str:
+        alias = f"x{len(asked[side])}"
+        asked[side][alias] = c
+        return alias
+
+    def res(r: Rule, name: str, bad: int, total: int, why: str = "", sample=()) -> Result:
+        return Result(name, r.kind.split(":")[0], r.severity, "fail" if bad else "pass", total, bad, r.kind, r.attribute, why, tuple(sample))
+
+    def totals(r: Rule, name: str):
+        p, count = r.params, F.count(F.lit(1))
+        if r.kind == "control_total:rows":
+            a, b = ask("s", count), ask("d", count)
+            return lambda s, d: res(r, name, abs(s[a] - d[b]), s[a])
+        if r.kind == "control_total:populated_cells":
+            have = [c for c in p["required"] if c in delivered.columns]
+            n, gaps = ask("d", count), {c: ask("d", F.count_if(blank(q(c)))) for c in have}
+            return lambda s, d: res(r, name, sum(d[x] for x in gaps.values()), d[n] * len(gaps), sample=[c for c, x in gaps.items() if d[x]])
+        if r.kind == "control_total:distinct_keys":
+            a, b = ask("s", F.countDistinct(q(p["source"]))), ask("d", F.countDistinct(q(p["target"])))
+            return lambda s, d: res(r, name, abs(s[a] - d[b]), s[a])
+        if r.kind == "control_total:numeric_sums":
+            cols = [c for c in p["columns"] if c in by and c in delivered.columns]
+            at = {c: (ask("s", F.sum(by[c].transform.column_of().cast("double"))), ask("d", F.sum(q(c).try_cast("double")))) for c in cols}
+            apart = lambda x, y: abs(x - y) > C.RELATIVE * max(abs(x), abs(y)) + C.ABSOLUTE
+            return lambda s, d: res(r, name, len(off := [c for c, (a, b) in at.items() if apart(s[a] or 0, d[b] or 0)]), len(cols), sample=[f"{c}: {s[at[c][0]]} <> {d[at[c][1]]}" for c in off])
+        a, v = X.quoted(p["attribute"]), X.quoted(p["driver"])
+        k = Check(name, r.kind, r.severity, p["attribute"], f"{a} IS NOT NULL AND {a} <> ''", f"{v} NOT IN ({', '.join(map(X.literal, p['values']))})")
+        n, bad = ask("d", F.count_if(F.expr(k.applies))), ask("d", F.count_if(F.expr(f"({k.applies}) AND ({k.violation})")))
+        return lambda s, d: replace(res(r, name, d[bad], d[n]), sql=k.evidence("delivered"), attribute=p["attribute"])
+
+    profiles: list[tuple[int, Rule]] = []
     for r in rules:
-        name = r.kind if r.kind.startswith("control_total") else f"{r.kind}:{r.attribute or r.params.get('column', '')}"
-        p = r.params
-        if not r.enabled or (fault := rule_fault(r, targets)):
-            out.append(skipped(name, r.kind, r.attribute, "disabled" if not r.enabled else fault))
-        elif r.kind == "control_total:rows":
-            a, b = source.count(), delivered.count()
-            out.append(res(r, name, abs(a - b), a))
+        name, p = name_of(r), r.params
+        fault = "disabled" if not r.enabled else rule_fault(r, targets)
+        if not fault and r.kind == "crossfield":
+            fault = next((f"{c} is not delivered" for c in (p["attribute"], p["driver"]) if c not in delivered.columns), "")
+        if fault:
+            out.append(skipped(name, r.kind, r.attribute, fault))
         elif r.kind == "control_total:columns":
             gone = [c for c in p["expected_columns"] if c not in delivered.columns]
             out.append(res(r, name, len(gone), len(p["expected_columns"]), sample=gone))
-        elif r.kind == "control_total:populated_cells":
-            have = [c for c in p["required"] if c in delivered.columns]
-            rows = C.fill_rates(delivered, have, set(have)).collect() if have else []
-            out.append(res(r, name, sum(x.blank for x in rows), sum(x.blank + x.populated for x in rows), sample=[x.attribute for x in rows if x.blank]))
-        elif r.kind == "control_total:distinct_keys":
-            a, b = source.agg(F.countDistinct(q(p["source"]))).first()[0], delivered.agg(F.countDistinct(q(p["target"]))).first()[0]
-            out.append(res(r, name, abs(a - b), a))
-        elif r.kind == "control_total:numeric_sums":
-            cols = [c for c in p["columns"] if c in by and c in delivered.columns]
-            s = source.agg(*[F.sum(by[c].transform.column_of().cast("double")).alias(c) for c in cols]).first()
-            d = delivered.agg(*[F.sum(q(c).try_cast("double")).alias(c) for c in cols]).first()
-            off = [c for c in cols if abs((s[c] or 0) - (d[c] or 0)) > C.RELATIVE * max(abs(s[c] or 0), abs(d[c] or 0)) + C.ABSOLUTE]
-            out.append(res(r, name, len(off), len(cols), sample=[f"{c}: {s[c]} <> {d[c]}" for c in off]))
         elif r.kind == "category_profile":
-            profiles.append(r)
-        elif r.kind == "crossfield":
-            a, d = X.quoted(p["attribute"]), X.quoted(p["driver"])
-            conditions.append((r, Check(name, r.kind, r.severity, p["attribute"], f"{a} IS NOT NULL AND {a} <> ''", f"{d} NOT IN ({', '.join(map(X.literal, p['values']))})")))
+            profiles.append((len(out), r))
+            out.append(None)
         elif r.kind == "aggregate_by":
             fn, col, g = p["function"].lower(), p.get("column"), list(p.get("group_by", ()))
             typed = (lambda c: c.try_cast("double")) if kind.get(col) in NUMERIC else (lambda c: c)
@@ -287,19 +335,22 @@ def reconcile(rules: list[Rule], source: DataFrame, delivered: DataFrame, maps:
             rows = C.aggregate_by(source, delivered, {x: by[x].transform.column_of().cast("string") for x in g}, {x: F.nullif(q(x), F.lit("")) for x in g}, vs, vd, fn)
             n, bad = rows.agg(F.count(F.lit(1)), F.count_if(~F.col("ties"))).first()
             out.append(res(r, f"aggregate_by:{fn}:{col}~{','.join(g)}", bad, n))
+        else:
+            late.append((len(out), totals(r, name)))
+            out.append(None)
+    sums = {side: df.agg(*[c.alias(a) for a, c in asked[side].items()]).first() if asked[side] else None for side, df in (("s", source), ("d", delivered))}
+    for i, make in late:
+        out[i] = make(sums["s"], sums["d"])
     if profiles:
-        attrs = [r.params["attribute"] for r in profiles if r.params["attribute"] in by and r.params["attribute"] in delivered.columns]
+        attrs = [r.params["attribute"] for _, r in profiles if r.params["attribute"] in by and r.params["attribute"] in delivered.columns]
         exp = {a: F.nullif(by[a].transform.column_of().cast("string"), F.lit("")) for a in attrs}
         got: dict[str, list] = {}
         for x in C.category_profiles(source, delivered.select(*[F.nullif(q(a), F.lit("")).alias(a) for a in attrs]), exp).collect() if attrs else []:
             got.setdefault(x.attribute, []).append(x)
-        for r in profiles:
+        for i, r in profiles:
             a = r.params["attribute"]
             rows = got.get(a)
-            out.append(res(r, f"category_profile:{a}", sum(1 for x in rows if x["diff"]), len(rows), sample=[f"{x.value}: {x.expected} <> {x.delivered}" for x in rows if x["diff"]][:10]) if rows else skipped(f"category_profile:{a}", "category_profile", a, "not a category in the delivered data"))
-    if conditions:
-        for (r, _), g in zip(conditions, run(delivered, [k for _, k in conditions], "delivered")):
-            out.append(replace(g, severity=r.severity))
+            out[i] = res(r, f"category_profile:{a}", sum(1 for x in rows if x["diff"]), len(rows), sample=[f"{x.value}: {x.expected} <> {x.delivered}" for x in rows if x["diff"]][:10]) if rows else skipped(f"category_profile:{a}", "category_profile", a, "not a category in the delivered data")
     return verdict(out), out
 
 

@@ -9,10 +9,12 @@ it; comparison is suspended if the two sides' row counts differ.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import all_of, blank, q
+from ..plans.joins import small_enough
 
 #: A sum ties if it is this near, relatively plus absolutely. Fixed values.
 RELATIVE, ABSOLUTE = 1e-6, 1e-9
@@ -20,19 +22,22 @@ CATEGORIES = 25
 
 
 def ordinal(df: DataFrame, name: str = "_rn") -> DataFrame:
-    """File positions from 1, assigned partition by partition after one sort key; no global window.
+    """File positions from 1. Rows of files are in order of path, split and place; other data in the order the plan yields it.
 
-    Rows of files are in order of path, block and place; other data in the order the plan yields it.
+    Spark packs splits into tasks by size, so places are counted within a split and offset by the rows of the splits
+    before it: one row a split is summed up, no row is sorted.
     """
     keyed = df.withColumn("__at", F.monotonically_increasing_id())
-    sizes = keyed.groupBy(F.shiftright("__at", 33).alias("p")).count().collect()  # one row a partition
-    starts, at = {}, 0
-    for r in sorted(sizes, key=lambda r: r.p):
-        starts[r.p], at = at, at + r["count"]
-    if not starts:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    offset = F.create_map(*[x for p, s in starts.items() for x in (F.lit(p), F.lit(s))])[F.shiftright("__at", 33)]
-    return keyed.withColumn(name, offset + (F.col("__at") - F.shiftleft(F.shiftright("__at", 33), 33)) + 1).drop("__at")
+    try:
+        keyed = df.select(*[q(c) for c in df.columns], F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start")).withColumn("__at", F.monotonically_increasing_id())
+        keyed.schema  # noqa: B018
+    except AnalysisException:  # not read from files
+        keyed = keyed.withColumns({"__path": F.lit(""), "__start": F.shiftright("__at", 33)})
+    splits = keyed.groupBy("__path", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = Window.orderBy("__path", "__start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("__path", "__start", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__offset"))
+    side = F.broadcast(offsets) if small_enough(offsets) else offsets
+    return keyed.join(side, ["__path", "__start"]).withColumn(name, F.col("__at") + F.col("__offset") + 1).drop("__path", "__start", "__at", "__offset")
 
 
 def align(expected: DataFrame, delivered: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 Tables are unpivoted to (colname, value), compressed to weighted values, and aggregated once per
 column. Dependencies come from one contingency aggregate, pair tests from one fused aggregate.
 
-Defined results: an empty table profiles to zero counts and EMPTY types; blanks and sentinels
+Defined results: an empty table has no profile, dependencies or findings; blanks and sentinels
 count as not populated; types hold for all populated values or not at all.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PLAIN_NUMBER, any_of, populated, q, strip  # noqa: F401
+from ..plans.lineage import stage
 
 #: A column with at most so many distinct values may be a code; codes have at most CODE_LENGTH characters. Fixed values.
 FEW_VALUES, CODE_LENGTH = 15, 8
@@ -30,10 +31,10 @@ def cells(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(each.alias("c")).groupBy("c.colname", "c.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row a column: counts, type, role. Values are stripped before they are compared."""
+def profile(df: DataFrame, columns: list[str] | None = None, raw: DataFrame | None = None) -> DataFrame:
+    """One row a column: counts, type, role. Values are stripped before they are compared. ``raw``: their :func:`cells`, where at hand."""
     columns = columns or df.columns
-    raw = cells(df, columns)
+    raw = cells(df, columns) if raw is None else raw
     v = strip(F.col("value"))
     by_value = raw.groupBy("colname", F.when(populated(F.col("value")), v).alias("v")).agg(F.sum("n").alias("n"))
     x, n = F.col("v"), F.col("n")
@@ -81,7 +82,7 @@ def dependencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     columns = columns or df.columns
     prof = {r.colname: r for r in profile(df, columns).collect()}  # one row a column
-    dependents = [c for c in columns if 0 < prof[c].populated_count < prof[c].row_count]
+    dependents = [c for c in columns if c in prof and 0 < prof[c].populated_count < prof[c].row_count]
     if not dependents:
         return df.sparkSession.createDataFrame([], "dependent string, driver string, driver_values string, support bigint, confidence double")
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("driver"), F.when(populated(q(c)), strip(q(c))).alias("value")) for c in columns if prof[c].distinct_count]))
@@ -99,15 +100,22 @@ def dependencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def copopulated(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(col_a, col_b): conditionally filled columns filled in exactly the same rows; one aggregate for all pairs."""
+    """(col_a, col_b): conditionally filled columns filled in exactly the same rows.
+
+    Rows are counted by which columns they fill; each column then has a fingerprint over these patterns (the sum of the
+    hashes of those that fill it, with its rows), and columns of equal fingerprints fill the same rows.
+    """
     columns = columns or df.columns
-    pairs = list(combinations(columns, 2))
-    filled = df.select(*[populated(q(c)).alias(f"f{i}") for i, c in enumerate(columns)])
-    at = {c: F.col(f"f{i}") for i, c in enumerate(columns)}
-    one = filled.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(at[c]).alias(f"c{i}") for i, c in enumerate(columns)], *[F.count_if(at[a] != at[b]).alias(f"d{k}") for k, (a, b) in enumerate(pairs)])
-    index = {c: i for i, c in enumerate(columns)}
-    rows = [F.when((F.col(f"d{k}") == 0) & (F.col(f"c{index[a]}") > 0) & (F.col(f"c{index[a]}") < F.col("n")), F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"))) for k, (a, b) in enumerate(pairs)]
-    return one.select(F.explode(F.array_compact(F.array(*rows))).alias("p")).select("p.*")
+    filled = F.array(*[populated(q(c)) for c in columns])
+    patterns = df.select(filled.alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n")
+    each = patterns.select(n, F.xxhash64("f").alias("h"), F.xxhash64("f", F.lit(1)).alias("g"), F.posexplode("f").alias("i", "full"))
+    marks = [F.sum(F.when(F.col("full"), F.col(c).cast("decimal(38,0)"))).alias(c) for c in ("h", "g")]
+    per = each.groupBy("i").agg(F.sum("n").alias("rows_"), F.coalesce(F.sum(F.when(F.col("full"), n)), F.lit(0)).alias("k"), *marks).where((F.col("k") > 0) & (F.col("k") < F.col("rows_")))
+    named = F.array(*[F.lit(c) for c in columns])
+    a, b = per.alias("a"), per.alias("b")
+    same = (F.col("a.h") == F.col("b.h")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.i") < F.col("b.i"))
+    return a.join(b, same).select(F.element_at(named, F.col("a.i") + 1).alias("col_a"), F.element_at(named, F.col("b.i") + 1).alias("col_b"))
 
 
 def date_orders(df: DataFrame, dates: list[str]) -> DataFrame:
@@ -135,8 +143,8 @@ TYPE_FORMATS = {"DATE_YYYYMMDD": r"^(19|20)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0
 def findings(df: DataFrame, columns: list[str] | None = None, expected: dict[str, str] | None = None) -> DataFrame:
     """(colname, completeness, validity, whitespace, severity). Types are inferred unless ``expected`` names them."""
     columns = columns or df.columns
-    raw = cells(df, columns)
-    prof = profile(df, columns).select("colname", "row_count", "populated_count", "inferred_type", "role")
+    raw = stage(cells(df, columns))
+    prof = profile(df, columns, raw).select("colname", "row_count", "populated_count", "inferred_type", "role")
     if expected:
         prof = prof.withColumn("inferred_type", F.coalesce(F.create_map(*[x for k, v in expected.items() for x in (F.lit(k), F.lit(v))])[F.col("colname")], F.col("inferred_type")))
     v = F.col("value")
@@ -166,13 +174,14 @@ BIRTH_YEARS = (1980, 2010)
 def personal_data(df: DataFrame, columns: list[str] | None = None, samples: int = 12) -> DataFrame:
     """(colname, category, action) of columns whose first distinct samples look like personal data."""
     columns = columns or df.columns
-    v = cells(df, columns).where(populated(F.col("value"))).select("colname", strip(F.col("value")).alias("value")).distinct()
+    raw = stage(cells(df, columns))
+    v = raw.where(populated(F.col("value"))).select("colname", strip(F.col("value")).alias("value")).distinct()
     v = v.withColumn("r", F.row_number().over(Window.partitionBy("colname").orderBy("value"))).where(F.col("r") <= samples)
     x = F.col("value")
     rates = [F.avg(x.rlike(p).cast("double")).alias(f"r{i}") for i, (_, p, _, _) in enumerate(PERSONAL)]
     rated = v.groupBy("colname").agg(*rates, F.max(x.rlike(ORGANISATION_WORDS)).alias("org"))
-    prof = profile(df, columns).select("colname", "inferred_type")
-    years = cells(df, columns).where(strip(F.col("value")).rlike(r"^[0-9]{8}\z")).groupBy("colname").agg(F.min(F.substring(strip(F.col("value")), 1, 4).cast("int")).alias("y0"), F.max(F.substring(strip(F.col("value")), 1, 4).cast("int")).alias("y1"))
+    prof = profile(df, columns, raw).select("colname", "inferred_type")
+    years = raw.where(strip(F.col("value")).rlike(r"^[0-9]{8}\z")).groupBy("colname").agg(F.min(F.substring(strip(F.col("value")), 1, 4).cast("int")).alias("y0"), F.max(F.substring(strip(F.col("value")), 1, 4).cast("int")).alias("y1"))
     j = rated.join(prof, "colname").join(years, "colname", "left")
     cat, act = F.lit(None).cast("string"), F.lit(None).cast("string")
     name_ok = (F.col("inferred_type") == "FREE_TEXT") & ~F.col("org")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -143,9 +144,16 @@ class SqlExpr(Transform):
         return self.text
 
 
-#: Tokens that make an expression's value change from run to run. Fixed values.
-NONDETERMINISTIC = ("current_timestamp", "current_localtimestamp", "current_date", "current_time", "localtimestamp", "now(", "today(", "random(", "rand(", "randn(", "uuid(", "gen_random_uuid", "nextval", "monotonically_increasing_id", "shuffle(", "input_file_name")
-_STATEMENTS = ("select ", "insert ", "update ", "delete ", "drop ", "create ", "alter ", "attach ", "copy ", "pragma ", "call ")
+#: Tokens that make an expression's value change from run to run. Fixed values; those of Spark's own functions follow.
+NONDETERMINISTIC = (
+    "now(", "today(", "random(", "uuid(", "gen_random_uuid",
+    "current_timestamp", "current_date", "current_time", "current_localtime",
+    "localtimestamp", "localtime", "transaction_timestamp",
+    "statement_timestamp", "get_current_timestamp", "nextval", "currval",
+    "rand(", "randn(", "monotonically_increasing_id", "shuffle(", "input_file_name",
+)
+_STATEMENTS = re.compile(r"\b(select|insert|update|delete|drop|create|alter|attach|copy|pragma|call)\s", re.I)
+_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`]|``)*`", re.S)
 
 
 def nondeterministic(sql: str) -> bool:
@@ -154,8 +162,8 @@ def nondeterministic(sql: str) -> bool:
 
 def refusal(df: DataFrame, sql: str) -> str | None:
     """Why an expression can't be used on ``df``; null if it can. Analyses it, runs nothing."""
-    low = f" {sql.lower()} "
-    if ";" in sql or any(f" {s}" in low for s in _STATEMENTS):
+    bare = _QUOTED.sub("''", sql)  # what literals and quoted names hold is text
+    if ";" in bare or _STATEMENTS.search(bare):
         return "statements are not expressions"
     try:
         df.limit(0).select(F.expr(sql)).schema  # noqa: B018

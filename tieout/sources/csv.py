@@ -6,12 +6,20 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def stage_text(spark: SparkSession, path: str, typed: bool = False) -> DataFrame:
-    """A CSV or TSV (by extension) with a header; all columns text unless ``typed``. Empty fields are null, blanks stay."""
+def stage_text(spark: SparkSession, path: str, typed: bool = False, multi_line: bool | None = None) -> DataFrame:
+    """A CSV or TSV (by extension) with a header; all columns text unless ``typed``. Empty fields are null, blanks stay.
+
+    A file whose quoted fields hold line breaks can't be split between tasks, so that is asked for only where a line leaves a
+    quote open: one scan of the lines, in parallel, tells (``multi_line`` saves it).
+    """
     sep = "\t" if str(path).lower().endswith(".tsv") else ","
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(str(path)).where(quotes % 2 != 0).isEmpty()
+    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     return reader.option("inferSchema", typed).csv(str(path))
 
 
