@@ -157,6 +157,17 @@ def test_weighted_statistics_equal_brute_force_with_a_hot_key_and_null_keys(spar
             assert getattr(got[k], name) == vs[max(1, int(np.ceil(len(vs) * p))) - 1]
 
 
+def test_percentiles_of_values_that_spread_far(spark):
+    rng = random.Random(8)
+    data = [(k, v) for k in ("a", None) for v in [rng.randrange(-(2**62), 2**62) for _ in range(300)] + [5, 5, 5, -(2**63), 2**63 - 1]]
+    w = key_totals.compress(spark.createDataFrame(data, "k string, v long"), F.col("k"), F.col("v"))
+    got = {r.key: r for r in key_totals.percentiles(w, ["key"], {"p0": 0.0, "p50": 0.5, "p100": 1.0}).collect()}
+    for k in ("a", None):
+        vs = sorted(v for kk, v in data if kk == k)
+        assert (got[k].p0, got[k].p50, got[k].p100) == (vs[0], vs[int(np.ceil(len(vs) * 0.5)) - 1], vs[-1])
+    assert key_totals.percentiles(w.limit(0), ["key"], {"p50": 0.5}).count() == 0
+
+
 def test_heavy_keys_count_null_rows_in_the_whole(spark):
     df = spark.createDataFrame([("c", "a")] * 2 + [("c", "b")] * 1 + [("c", None)] * 97, "colname string, k string")
     w = key_totals.compress(df, F.col("k"), F.lit(1), colname=F.col("colname"))

@@ -4,10 +4,10 @@ Value-frequency compression: rows are grouped by (key, value) before key. Partia
 aggregation makes one record per (key, value) and map task, so a key holding a third of all
 rows is spread over as many partitions as it has values, and the second grouping by key sees
 distinct values only. Totals, exact distinct counts and modes are combinable sums over
-weighted values. Percentiles come from weighted values too: values fall into buckets of
-``WIDTH`` neighbouring integers, the bucket holding the wanted rank is found from bucket
-totals, and only that bucket's values (at most ``WIDTH``) are ranked, so no task ever holds all
-values of a hot key.
+weighted values. Percentiles come from weighted values too: the range of all values is cut into
+at most ``WIDTH`` buckets, the one holding the wanted rank is found from bucket totals and cut again,
+until a bucket is one value. At most ``WIDTH`` buckets of a key are ranked at a time, so no task ever holds
+all values of a hot key, however far they spread.
 
 Defined results: null keys form a group of their own; null values count as rows but neither
 as distinct values nor towards mode or percentiles; a mode tie goes to the smallest value;
@@ -34,24 +34,37 @@ def totals(weighted: DataFrame, *by: str) -> DataFrame:
     return weighted.groupBy(*by).agg(F.sum("n").alias("row_count"), F.count("value").alias("distinct_count"), F.min(rank)["v"].alias("mode_value"))
 
 
+def compress_all(df: DataFrame, key: Column, values: dict[str, Column]) -> DataFrame:
+    """(key, name, value text, n): weighted distinct values of several columns of each key, from one scan and one shuffle."""
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), c.cast("string").alias("value")) for k, c in values.items()]))
+    return df.select(key.alias("key"), cells.alias("c")).groupBy("key", "c.name", "c.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def percentiles(weighted: DataFrame, by: list[str], points: dict[str, float]) -> DataFrame:
     """Exact weighted percentiles of an integer ``value`` per key; one column for each of ``points``."""
-    v = weighted.where(F.col("value").isNotNull()).withColumn("bucket", F.floor(F.col("value") / WIDTH))
-    buckets = v.groupBy(*by, "bucket").agg(F.sum("n").alias("bn"))
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    b = buckets.withColumns({"upto": F.sum("bn").over(upto), "all": F.sum("bn").over(whole)})
-    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("point"), F.ceil(F.col("all") * p).alias("at")) for k, p in points.items()]))
-    b = b.withColumn("w", wanted).select(*by, "bucket", "w.point", (F.greatest(F.col("w.at"), F.lit(1)) - (F.col("upto") - F.col("bn"))).alias("rest"), "bn")
-    b = b.where((F.col("rest") > 0) & (F.col("rest") <= F.col("bn")))
-    inside = Window.partitionBy(*by, "bucket", "point").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    l, r = v.alias("l"), b.alias("r")
-    cond = F.lit(True)
-    for k in by:
-        cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    hit = l.join(r, cond & (F.col("l.bucket") == F.col("r.bucket"))).select(*[F.col(f"l.{k}").alias(k) for k in by], F.col("l.bucket").alias("bucket"), "point", "rest", "value", "n")
-    hit = hit.withColumn("upto", F.sum("n").over(inside)).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
-    return hit.groupBy(*by).agg(*[F.max(F.when(F.col("point") == k, F.col("value"))).alias(k) for k in points])
+    v = weighted.where(F.col("value").isNotNull()).select(*by, F.col("value").cast("bigint").alias("value"), "n")
+    lo, hi = v.agg(F.min("value"), F.max("value")).first()
+    lo, hi = lo or 0, hi or 0
+    steps = 1
+    while WIDTH**steps <= hi - lo:
+        steps += 1
+    whole = "bigint" if hi - lo < 2**63 else "decimal(20,0)"
+    off = F.col("value").cast(whole) - F.lit(lo).cast(whole)
+    at = lambda k: F.floor(off / F.lit(WIDTH**k).cast("decimal(20,0)")).cast(whole)
+    all_ = v.groupBy(*by).agg(F.sum("n").alias("all"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("point"), F.greatest(F.ceil(F.col("all") * p), F.lit(1)).cast("bigint").alias("rest")) for k, p in points.items()]))
+    open_ = all_.select(*by, wanted.alias("w")).select(*by, "w.point", "w.rest", F.lit(0).cast(whole).alias("node"))
+    for k in range(steps - 1, -1, -1):
+        buckets = v.groupBy(*by, at(k).alias("bucket")).agg(F.sum("n").alias("n")).withColumn("node", F.floor(F.col("bucket").cast("decimal(20,0)") / F.lit(WIDTH).cast("decimal(20,0)")).cast(whole) if k < steps - 1 else F.lit(0).cast(whole))
+        l, r = buckets.alias("l"), open_.alias("r")
+        cond = F.col("l.node") == F.col("r.node")
+        for c in by:
+            cond = cond & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+        inside = Window.partitionBy(*by, "point").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        hit = l.join(r, cond).select(*[F.col(f"l.{c}").alias(c) for c in by], "bucket", "point", "rest", "n").withColumn("upto", F.sum("n").over(inside))
+        hit = hit.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
+        open_ = hit.select(*by, "point", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("rest"), F.col("bucket").alias("node"))
+    return open_.groupBy(*by).agg(*[F.max(F.when(F.col("point") == k, (F.col("node") + F.lit(lo).cast(whole)).cast("bigint"))).alias(k) for k in points])
 
 
 def heavy(weighted: DataFrame, by: list[str], share: float) -> DataFrame:

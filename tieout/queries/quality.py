@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_number, is_ymd
 from ..operators import copy_diff, key_totals, load_profile, orphans, unit_changes
+from ..plans.lineage import stage
 from ..sources import records
 from ..sources.tables import table
 
@@ -102,9 +103,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _p4_totals(spark: SparkSession, d: str, column: str) -> DataFrame:
     efas = table(spark, d, "efas0042")
-    policies = key_totals.totals(key_totals.compress(efas, F.col(column), F.col("polno")), "key").select("key", "row_count", F.col("distinct_count").alias("policies"))
-    sums = key_totals.compress(efas, F.col(column), F.col("sumassd").try_cast("bigint"))
-    modes = key_totals.totals(key_totals.compress(efas, F.col(column), F.col("statcd")), "key").select("key", F.col("distinct_count").alias("statuses"), F.col("mode_value").alias("mode_statcd"))
+    every = stage(key_totals.compress_all(efas, F.col(column), {"polno": F.col("polno"), "statcd": F.col("statcd"), "sumassd": F.col("sumassd").try_cast("bigint")}))
+    of = lambda name: every.where(F.col("name") == name)
+    policies = key_totals.totals(of("polno"), "key").select("key", "row_count", F.col("distinct_count").alias("policies"))
+    sums = of("sumassd").withColumn("value", F.col("value").cast("bigint"))
+    modes = key_totals.totals(of("statcd"), "key").select("key", F.col("distinct_count").alias("statuses"), F.col("mode_value").alias("mode_statcd"))
     amounts = sums.groupBy("key").agg(F.sum(F.col("value") * F.col("n")).alias("sum_assured"))
     points = key_totals.percentiles(sums, ["key"], {"p50_sumassd": 0.5, "p90_sumassd": 0.9})
     out = policies.alias("p")
