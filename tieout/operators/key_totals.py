@@ -49,13 +49,14 @@ def percentiles(weighted: DataFrame, by: list[str], points: dict[str, float]) ->
     while WIDTH**steps <= hi - lo:
         steps += 1
     whole = "bigint" if hi - lo < 2**63 else "decimal(20,0)"
-    off = F.col("value").cast(whole) - F.lit(lo).cast(whole)
-    at = lambda k: F.floor(off / F.lit(WIDTH**k).cast("decimal(20,0)")).cast(whole)
+    v = v.withColumn("off", F.col("value").cast(whole) - F.lit(lo).cast(whole))
+    over = lambda c, width: F.expr(f"{c} div CAST({width} AS DECIMAL(20, 0))").cast(whole)
+    at = lambda k: over("off", WIDTH**k) if k else F.col("off").cast(whole)
     all_ = v.groupBy(*by).agg(F.sum("n").alias("all"))
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("point"), F.greatest(F.ceil(F.col("all") * p), F.lit(1)).cast("bigint").alias("rest")) for k, p in points.items()]))
     open_ = all_.select(*by, wanted.alias("w")).select(*by, "w.point", "w.rest", F.lit(0).cast(whole).alias("node"))
     for k in range(steps - 1, -1, -1):
-        buckets = v.groupBy(*by, at(k).alias("bucket")).agg(F.sum("n").alias("n")).withColumn("node", F.floor(F.col("bucket").cast("decimal(20,0)") / F.lit(WIDTH).cast("decimal(20,0)")).cast(whole) if k < steps - 1 else F.lit(0).cast(whole))
+        buckets = v.groupBy(*by, at(k).alias("bucket")).agg(F.sum("n").alias("n")).withColumn("node", over("bucket", WIDTH) if k < steps - 1 else F.lit(0).cast(whole))
         l, r = buckets.alias("l"), open_.alias("r")
         cond = F.col("l.node") == F.col("r.node")
         for c in by:
