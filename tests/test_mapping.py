@@ -472,3 +472,149 @@ def test_mined_rules_find_planted_faults(spark):
     assert rules.mine(df.limit(0)) == [] and rules.run(df, []).count() == 0
     again = df.unionByName(df.where("POLNO = '0001000000'"))
     assert {r.rule: r.failed for r in rules.run(again, mined).collect()}["key_unique:POLNO"] == 2
+
+
+# ------------------------------------------- specifications, scripts, command line
+
+
+def _write(path, df):
+    files.deliver(df, str(path))
+    return str(path)
+
+
+def test_a_specification_survives_json(mapped):
+    from tieout.plans import spec
+
+    ts = TARGETS
+    found = A.derive_rules(mapped, ts, ["POLNO"], [("EXITDT", "STATCD", ["CL"])])
+    maps, targets, certified, key, left = spec.load(spec.dump(mapped, ts, found, "policy_reference", {"source_system": "X"}))
+    assert maps == mapped and targets == ts and [r.id for r in certified] == [r.id for r in found] and key == "policy_reference" and left == {"source_system": "X"}
+
+
+def test_the_command_line_maps_delivers_and_proves(policies, tmp_path, capsys):
+    import json
+
+    from tieout import cli
+
+    src = _write(tmp_path / "pol.csv", policies)
+    (tmp_path / "s.json").write_text(json.dumps({"columns": [{"name": s.name, "business_name": s.business_name, "inferred_type": s.inferred_type, "aliases": list(s.aliases), "value_decode": dict(s.decode)} for s in SOURCES]}))
+    (tmp_path / "t.json").write_text(json.dumps({"attributes": [{"name": t.name, "type": t.type, "allowed_values": list(t.allowed), "required": not t.nullable} for t in TARGETS]}))
+    spec, out = str(tmp_path / "spec.json"), str(tmp_path / "out.csv")
+    run = lambda *a: (cli.main(list(a)), [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")])
+    assert run("map", src, str(tmp_path / "s.json"), str(tmp_path / "t.json"), spec)[0] == 0
+    assert {i["target"] for i in run("review", spec)[1]} >= {"tax_file_number"}
+    assert run("transform", spec, src, out)[0] == 0
+    assert all(r["by"] == "ann" and r["enabled"] for r in run("certify", spec, "ann")[1])
+    code, lines = run("validate", spec, src, out)
+    assert code == 0, [x for x in lines if x.get("status") == "fail"]
+    code, lines = run("reconcile", spec, src, out)
+    assert code == 0 and lines[-1]["verdict"] == "certified"
+    # a tampered delivery is told
+    bad = _write(tmp_path / "bad.csv", files.stage_text(policies.sparkSession, out).withColumn("policy_status", F.when(F.col("policy_reference").endswith("3"), "LAPSED").otherwise(F.col("policy_status"))))
+    assert run("validate", spec, src, bad)[0] == 1 and run("reconcile", spec, src, bad)[0] == 1
+    for kind in ("etl", "validate", "reconcile"):
+        assert run("script", spec, kind, str(tmp_path / f"{kind}.py"))[0] == 0
+        compile((tmp_path / f"{kind}.py").read_text(), kind, "exec")
+    done = subprocess.run([sys.executable, str(tmp_path / "reconcile.py"), src, bad], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 1 and "FAIL category_profile:policy_status" in done.stdout, done.stderr[-2000:]
+
+
+def test_insights_are_kept_by_content(spark, tmp_path):
+    from tieout.operators import insights
+
+    df = spark.createDataFrame([("0000000001", "a", None), ("0000000002", "b", "")], "K string, S string, T string")
+    first, had = insights.get_or_derive(df, "t", str(tmp_path))
+    again, kept = insights.get_or_derive(df.repartition(2).orderBy(F.desc("K")), "t", str(tmp_path))
+    assert not had and kept and again == first
+    assert not insights.get_or_derive(df.withColumn("S", F.lit("a")), "t", str(tmp_path))[1]
+    assert insights.fingerprint(df) != insights.fingerprint(df.withColumn("T", F.when(F.col("S") == "a", "")))
+    assert insights.fingerprint(df.limit(0)) != insights.fingerprint(df)
+
+
+class Says:
+    def __init__(self, proposals=(), values=None):
+        self.proposals, self.values, self.asked = proposals, values or {}, []
+
+    def propose(self, targets, sources):
+        self.asked.append(len(targets))
+        return self.proposals
+
+    def map_values(self, target, source, codes):
+        return self.values
+
+
+def test_proposals_are_tested_not_trusted(policies, mapped):
+    from tieout.operators import proposals as P
+
+    weak = [match.Mapping(m.target, (), None, 0.0) for m in mapped]
+    says = Says([P.Proposal("annual_premium", "CAST(PREMAMT AS DOUBLE) * 12", ("PREMAMT",), "monthly"), P.Proposal("exit_date", "MBRNAME", ("MBRNAME",)), P.Proposal("policy_status", "STATCD", ("STATCD",)), P.Proposal("exit_reason", "nope", ("NOPE",)), P.Proposal("unknown", "1")])
+    got = {m.target: (m, why) for m, why in P.recover(policies, weak, TARGETS, SOURCES, says)}
+    assert got["annual_premium"][0].gate == "review" and got["annual_premium"][1] == ""
+    assert "look like date" in got["exit_date"][1] and "permitted" in got["policy_status"][1] and "no such column" in got["exit_reason"][1]
+    assert all(got[t][0].transform is None for t in ("exit_date", "policy_status", "exit_reason", "tax_file_number")) and says.asked == [len(TARGETS)]
+    contested = [match.Mapping("a", ("X",), X.Copy("X"), 0.5, gate="review", notes=("contested with b",)), match.Mapping("b", ("X",), X.Copy("X"), 0.5, gate="review")]
+    two = [match.Target("a"), match.Target("b")]
+    assert P.verify(contested, two, [], Says([P.Proposal("a", None)]))[0].transform is None
+    assert P.verify(contested, two, [], Says([P.Proposal("a", "X", ("X",))])) == contested and P.verify(contested, two, [], Says()) == contested
+
+
+def test_codes_are_mapped_to_permitted_values_only(policies):
+    from tieout.operators import proposals as P
+
+    t = match.Target("flag", "enum", allowed=("0", "1"))
+    s = match.SourceColumn("STATCD", "Status", decode=(("IF", "In Force"), ("LA", "Lapsed"), ("CL", "Closed")))
+    m = match.Mapping("flag", ("STATCD",), X.EnumDecode("STATCD", ()), 0.6, gate="review", unmapped_codes=("IF", "LA", "CL"))
+    new, why = P.map_codes(policies, m, t, s, Says(values={"IF": "1", "LA": "0", "CL": None}))
+    assert why == "" and new.unmapped_codes == ("CL",) and new.gate == "review" and dict(new.transform.pairs) == {"IF": "1", "LA": "0"}
+    assert P.map_codes(policies, m, t, s, Says(values={"ZZ": "1"}))[0] == m and P.map_codes(policies, m, t, s, Says(values={"IF": "maybe"}))[0] == m
+
+
+COB = """       PROGRAM-ID. CALC1.
+           SELECT POLFILE ASSIGN TO "POL.DAT".
+       01  POL-REC.
+           05  POL-NO        PIC 9(10).
+           05  STAT-CD       PIC X(2).
+           05  PREM-AMT      PIC 9(7)V99.
+       01  OTHER-REC.
+           05  A-TXT         PIC X(10).
+           05  B-TXT         PIC X(2).
+           05  C-TXT         PIC X(9).
+       PROCEDURE DIVISION.
+       MAIN-PARA.
+           IF STAT-CD = 'LA'
+           MOVE 2 TO WS-RATE.
+           END-IF.
+           COMPUTE PREM-AMT = WS-BASE * WS-RATE.
+       BASE-PARA.
+           COMPUTE WS-BASE = POL-NO + 1.
+"""
+
+
+def test_columns_are_enriched_and_programs_become_a_graph(spark, tmp_path):
+    g = programs.parse(COB)
+    cols = [("POLNO", "IDENTIFIER", "key"), ("STATCD", "CATEGORICAL_CODE", "code"), ("PREM", "DECIMAL", "measure")]
+    assert programs.layout_for(g, [c for c, _, _ in cols], [t for _, t, _ in cols]) == [("POL-NO", "POLNO"), ("STAT-CD", "STATCD"), ("PREM-AMT", "PREM")]
+    e = {x.name: x for x in programs.enrich(cols, g, {"labels": {"PREM": "Annual Premium"}, "decodes": {"STATCD": {"LA": "Lapsed"}}})}
+    assert (e["PREM"].business_name, e["PREM"].confidence, e["POLNO"].confidence) == ("Annual Premium", 0.95, 0.7) and dict(e["STATCD"].decode) == {"LA": "Lapsed"}
+    assert "Calculated by CALC1" in e["PREM"].description and "WS-BASE" in e["PREM"].derivation
+    assert programs.enrich([("Q", "EMPTY", "dead")])[0].confidence == 0.4
+    assert programs.input_roles(g, "PREM-AMT") == {"POL-NO": ["operand"], "STAT-CD": ["condition"]}
+    nodes, edges = programs.program_graph(g, {"PREM-AMT": "PREM"}, {"PREM-AMT": "Annual Premium"})
+    kinds = {k for _, _, k in edges}
+    assert {"READS", "STORED_ON", "HAS_FIELD", "ALIGNED_TO", "LABELLED_AS", "DERIVED_BY", "DEPENDS_ON", "USES", "DEFINED_IN"} == kinds
+    store = graph.Store(spark, str(tmp_path / "kg"))
+    v = store.create(nodes, edges)
+    assert store.edges().where(F.col("version") == v).count() == len(edges)
+
+
+def test_dictionaries_are_paired_and_files_named(spark):
+    d = {"table": "B", "attributes": []}
+    assert relate.pair_dictionaries(["A", "B"], [("x", d), ("A", {})]) == ({"B": d, "A": {}}, [])
+    assert relate.pair_dictionaries(["A"], [("x", {"table": "odd"})])[1] == [] and relate.pair_dictionaries(["A", "B"], [("x", d)])[1] == ["A"]
+    maps = [match.Mapping("t", ("N", "E"), X.Copy("N"), 1.0), match.Mapping("u", ("N",), X.Copy("N"), 1.0), match.Mapping("w", ("E",), X.Copy("E"), 1.0)]
+    got = relate.annotate_files(maps, {"E": ("emp", "NAME")}, "pol")
+    assert got["t"][0] == ("pol", "emp") and got["u"] == (("pol",), "") and got["w"][1].endswith("emp")
+    from tieout.sources.tables import catalog
+
+    spark.range(1).createOrReplaceTempView("seen_here")
+    assert [(r.column_name, r.data_type) for r in catalog(spark).where("table_name = 'seen_here'").collect()] == [("id", "bigint")]

@@ -7,6 +7,7 @@ parallel by :func:`parse_estate`, one text a row.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -213,10 +214,150 @@ def screen(text: str) -> dict:
     return {"columns": cols, "decodes": decodes, "labels": labels}
 
 
-def layout_for(program: Program, columns: list[str]) -> list[tuple[str, str]]:
-    """(field, column) by position, only if a record has exactly as many fields as the extract has columns."""
+#: Inferred types whose values a numeric picture can hold. Fixed values.
+NUMERIC_TYPES = frozenset(("DATE_YYYYMMDD", "DECIMAL", "INTEGER", "IDENTIFIER"))
+
+
+def layout_for(program: Program, columns: list[str], types: list[str] | None = None) -> list[tuple[str, str]]:
+    """(field, column) by position, of a record with exactly as many fields as the extract has columns.
+
+    Of several such records the one whose pictures fit the columns' inferred types best is meant, then the one whose fields the
+    procedure uses most.
+    """
     fit = [fs for fs in program.records.values() if len(fs) == len(columns)]
-    return [(f.name, c) for f, c in zip(fit[0], columns)] if fit else []
+    if not fit:
+        return []
+    words = Counter(t for p in program.paragraphs for s in p.statements for t in _TOKEN.findall(s.upper()))
+    numeric = lambda f: bool(re.match(r"S?9", f.pic.upper()))
+    agree = lambda fs: sum((1 if k in NUMERIC_TYPES else -1) for f, k in zip(fs, types or ()) if numeric(f))
+    best = max(fit, key=lambda fs: (agree(fs), sum(words[f.name] for f in fs)))
+    return [(f.name, c) for f, c in zip(best, columns)]
+
+
+def rule_text(program: Program, variable: str, labels: dict[str, str] | None = None) -> str:
+    """A calculated field as sentences: its steps with what is new in each step's conditions, then the variables it rests on."""
+    labels = {k.upper(): v for k, v in (labels or {}).items()}
+    named = lambda text: _TOKEN.sub(lambda m: labels.get(m[0].upper(), m[0]), text)
+
+    def steps(v: str) -> list[str]:
+        out, before = [], set()
+        for statement, guards in guarded_rules(program, v):
+            new = [g for g in guards if g not in before]
+            before = set(guards)
+            when = " and ".join(map(named, new))
+            out.append(named(statement) + (f", when {when}" if when else ""))
+        return out
+
+    _, reached, _ = backward_slice(program, variable)
+    lines = [f"{labels.get(variable.upper(), variable.upper())}:", *[f"  {x}" for x in steps(variable)]]
+    for v in sorted(reached - {variable.upper()}):
+        if own := steps(v):
+            lines.append(f"  where {labels.get(v, v)}: " + "; ".join(own))
+    return "\n".join(lines)
+
+
+def input_roles(program: Program, variable: str) -> dict[str, list[str]]:
+    """Record fields a calculation reads: as operand, in conditions, or both."""
+    inputs = {f.name for fs in program.records.values() for f in fs if f.level > 1}
+    _, reached, _ = backward_slice(program, variable)
+    out: dict[str, set[str]] = {}
+    for v in reached:
+        for statement, guards in guarded_rules(program, v):
+            for role, words in (("operand", used(statement)), ("condition", set().union(*(set(_TOKEN.findall(g.upper())) for g in guards)) if guards else set())):
+                for w in words & inputs - {variable.upper()}:
+                    out.setdefault(w, set()).add(role)
+    return {k: sorted(r) for k, r in sorted(out.items())}
+
+
+@dataclass(frozen=True)
+class Enriched:
+    name: str
+    business_name: str
+    description: str
+    inferred_type: str
+    field: str | None
+    pic: str | None
+    label: str | None
+    decode: tuple[tuple[str, str], ...]
+    derivation: str | None
+    confidence: float
+    evidence: tuple[str, ...]
+
+
+#: How sure a name is: from the data alone, from a program's layout, from a screen, from both; and bounds for calculated fields. Fixed values.
+BY_DATA, BY_LAYOUT, BY_SCREEN, BY_BOTH, CALCULATED, POORLY_READ, READ = 0.4, 0.7, 0.9, 0.95, 0.75, 0.6, 0.8
+
+
+def enrich(columns: list[tuple[str, str, str]], program: Program | None = None, seen: dict | None = None) -> list[Enriched]:
+    """What columns (name, inferred type, role) mean, from the program that writes them and the screen that shows them.
+
+    A screen's label names a column before the program's field does; of code meanings the screen's go over the program's.
+    """
+    seen = seen or {}
+    names = [c for c, _, _ in columns]
+    at = {c: f for f, c in layout_for(program, names, [t for _, t, _ in columns])} if program else {}
+    pics = {f.name: f.pic for fs in program.records.values() for f in fs} if program else {}
+    codes = code_meanings(program) if program else {}
+    label_of, decode_of = seen.get("labels", {}), seen.get("decodes", {})
+    out = []
+    for name, kind, role in columns:
+        label, f = label_of.get(name), at.get(name)
+        decode = {k: v.title() for k, v in codes.get(f, {}).items()} | dict(decode_of.get(name, {}))
+        confidence = BY_BOTH if label and f else BY_SCREEN if label else BY_LAYOUT if f else BY_DATA
+        evidence = [f"screen label {label}"] if label else []
+        evidence += [f"field {f} {pics.get(f, '')}".strip()] if f else []
+        derivation = None
+        if program and f and any(f in assigned(s) and s.split(None, 1)[0].upper() in ARITHMETIC for p in program.paragraphs for s in p.statements):
+            read = backward_slice(program, f)[2]
+            derivation = rule_text(program, f, {x: label_of.get(c, humanise(x)) for c, x in at.items()})
+            evidence.append(f"calculated in {program.name}; {read:.0%} of its statements understood")
+            if not (label and f):
+                confidence = max(confidence, CALCULATED) if read >= READ else min(confidence, POORLY_READ)
+        business = label or (humanise(f) if f else role.split(" (")[0].title())
+        text = f"{business}: {kind.lower().replace('_', ' ')}."
+        if role.startswith(("dead", "constant")):
+            text = f"{business}: {'filler without meaning' if role.startswith('dead') else 'control field, always the same'}."
+        text += f" Codes: {', '.join(f'{k} = {v}' for k, v in decode.items())}." if decode else ""
+        text += f" Calculated by {program.name}." if derivation else ""
+        out.append(Enriched(name, business, text, kind, f, pics.get(f), label, tuple(decode.items()), derivation, confidence, (*evidence, f"data: {role}, {kind}")))
+    return out
+
+
+def program_graph(program: Program, columns: dict[str, str] | None = None, labels: dict[str, str] | None = None) -> tuple[list[tuple[str, str, str, dict]], list[tuple[str, str, str]]]:
+    """(nodes, edges) of a program for the knowledge store. ``columns``: field to the extract's column it is aligned to."""
+    columns, labels = columns or {}, labels or {}
+    pgm = f"pgm:{program.name}"
+    nodes = {pgm: ("program", program.name, {"coverage": round(program.coverage(), 3)})}
+    edges: list[tuple[str, str, str]] = []
+    for f, dataset in program.files.items():
+        nodes[f"ds:{dataset}"] = ("dataset", dataset, {"file": f})
+        edges.append((pgm, f"ds:{dataset}", "READS"))
+    for record, fs in program.records.items():
+        nodes[f"rec:{record}"] = ("record", record, {})
+        edges += [(f"rec:{record}", f"ds:{d}", "STORED_ON") for d in program.files.values()]
+        edges.append((f"rec:{record}", pgm, "DEFINED_IN"))
+        for f in fs:
+            nodes[f"fld:{f.name}"] = ("field", labels.get(f.name, humanise(f.name)), {"pic": f.pic, "position": f.position})
+            edges.append((f"rec:{record}", f"fld:{f.name}", "HAS_FIELD"))
+            if f.name in columns:
+                nodes[f"col:{columns[f.name]}"] = ("column", columns[f.name], {})
+                edges.append((f"fld:{f.name}", f"col:{columns[f.name]}", "ALIGNED_TO"))
+            if f.name in labels:
+                nodes[f"lbl:{labels[f.name]}"] = ("label", labels[f.name], {})
+                edges.append((f"fld:{f.name}", f"lbl:{labels[f.name]}", "LABELLED_AS"))
+    for p in program.paragraphs:
+        for s in p.statements:
+            for v in assigned(s):
+                me = f"fld:{v}" if f"fld:{v}" in nodes else f"var:{v}"
+                nodes.setdefault(me, ("variable", humanise(v), {}))
+                edges.append((me, pgm, "DERIVED_BY"))
+                for u in sorted(used(s)):
+                    if f"fld:{u}" in nodes:
+                        edges.append((me, f"fld:{u}", "USES"))
+                    elif any(u in q.targets() for q in program.paragraphs):
+                        nodes.setdefault(f"var:{u}", ("variable", humanise(u), {}))
+                        edges.append((me, f"var:{u}", "DEPENDS_ON"))
+    return [(i, *n) for i, n in nodes.items()], list(dict.fromkeys(e for e in edges if e[0] != e[1]))
 
 
 def read_estate(spark: SparkSession, path: str) -> DataFrame:

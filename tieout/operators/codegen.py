@@ -46,6 +46,39 @@ def check_script(checks: list[Check], name: str = "validate.py") -> str:
     )
 
 
+_CHECKING = '''"""Written by tieout. Run with: spark-submit {name} SOURCE.csv DELIVERED.csv (tieout on the path)"""
+
+import sys
+
+from tieout.operators import assure
+from tieout.plans import spec
+from tieout.session import session
+from tieout.sources.csv import stage_text
+
+SPEC = {spec}
+
+spark = session("{name}")
+maps, targets, rules, key, _ = spec.load(SPEC)
+source, delivered = stage_text(spark, sys.argv[1]), stage_text(spark, sys.argv[2])
+verdict, results = {call}
+for r in results:
+    print(r.status.upper(), r.name, f"{{r.offending}} of {{r.total}}", r.reason, *r.sample[:3])
+failed = [r for r in results if r.status == "fail"]
+print(verdict, f"{{len(failed)}} failed")
+sys.exit(1 if failed else 0)
+'''
+
+
+def validation_script(spec_json: str, name: str = "validate.py") -> str:
+    """The whole delivered report (columns, grain, key, completeness, domain, type, duplicates, values recomputed), as the engine runs it."""
+    return _CHECKING.format(name=name, spec=repr(spec_json), call="assure.delivered_report(delivered, targets, maps, source, key)")
+
+
+def reconciliation_script(spec_json: str, name: str = "reconcile.py") -> str:
+    """The certified rules of a specification, as the engine runs them; exit code 0 only if all pass."""
+    return _CHECKING.format(name=name, spec=repr(spec_json), call="assure.reconcile(rules, source, delivered, maps, targets)")
+
+
 def rule_library(checks: list[Check], table: str, suppressed: dict[str, str] | None = None) -> str:
     """Annotated SQL of a rule library; suppressed rules are commented out with their note."""
     out = [f"-- Data-quality rules of {table}\n"]

@@ -160,3 +160,26 @@ def workset(tables: dict[str, DataFrame], start: str, steps: list[Step]) -> Data
         side = F.broadcast(side) if small_enough(side, row_bytes=64 * len(names)) else side
         out = out.join(side, F.trim(q(named[(s.from_table, s.from_column)]).cast("string")) == F.col("__k"), "left").drop("__k")
     return out
+
+
+def pair_dictionaries(tables: list[str], dictionaries: list[tuple[str, dict]]) -> tuple[dict[str, dict], list[str]]:
+    """(table to its dictionary, tables without one). A dictionary says its table or is called like it; with a single table
+    any dictionary is its. Of several for one table the last given counts."""
+    out = {}
+    for stem, d in dictionaries:
+        name = d.get("table") or stem
+        name = tables[0] if name not in tables and len(tables) == 1 else name
+        if name in tables:
+            out[name] = d
+    return out, sorted(set(tables) - out.keys())
+
+
+def annotate_files(maps: list, origin: dict[str, tuple[str, str]], default: str) -> dict[str, tuple[tuple[str, ...], str]]:
+    """Target to (files its mapping reads, a note if they aren't the primary alone). ``origin``: working column to (table, column)."""
+    out = {}
+    for m in maps:
+        at = [origin.get(c, (default, c)) for c in m.sources]
+        files = tuple(dict.fromkeys(t for t, _ in at))
+        note = f"combines {', '.join(f'{t}.{c}' for t, c in at)} by the discovered join" if len(files) > 1 else f"from the joined file {files[0]}" if files and files[0] != default else ""
+        out[m.target] = (files, note)
+    return out
