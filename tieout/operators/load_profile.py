@@ -7,7 +7,7 @@ columns carry exact power sums (n, sum x .. sum x^4 of hundredths): a value is s
 limbs, hi x 10^7 + lo, and the sums of products of limbs are kept as whole decimals, which hold
 ten billion rows a load of the largest values declared. They are mergeable, so moments of any union of
 loads follow without a second pass, and the change of a column between loads is the difference of means
-over the pooled standard deviation. The profile is written once and read by whatever needs it.
+over the pooled standard deviation.
 
 Defined results: a null load is a load of its own without neighbours; a column with no
 value at all has null minimum, maximum and moments and 0 distinct values; an empty table
