@@ -11,8 +11,8 @@ from . import mixing, names, stuffing, tokenize
 
 
 def _people(spark: SparkSession, d: str) -> DataFrame:
-    number = F.regexp_replace(F.upper(F.col("nino")), " ", "")
-    place = F.regexp_replace(F.upper(F.col("pcode")), " ", "")
+    number = F.replace(F.upper(F.col("nino")), F.lit(" "), F.lit(""))
+    place = F.replace(F.upper(F.col("pcode")), F.lit(" "), F.lit(""))
     e = table(spark, d, "efas0042").where("polno is not null and mbrname is not null")
     return e.select(
         F.col("polno").alias("id"),
