@@ -73,7 +73,7 @@ def distinct_samples(df: DataFrame, columns: list[str], most: int) -> DataFrame:
     return v.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def dependencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def dependencies(df: DataFrame, columns: list[str] | None = None, prof: dict | None = None) -> DataFrame:
     """(dependent, driver, driver_values, support, confidence): columns filled only where a driver has a few values.
 
     One contingency aggregate: (driver, value) with the number of rows and, per conditionally filled
@@ -81,7 +81,7 @@ def dependencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     most DRIVER_VALUES values and not all it has. Fewest values win, then coverage, then name.
     """
     columns = columns or df.columns
-    prof = {r.colname: r for r in profile(df, columns).collect()}  # one row a column
+    prof = prof or {r.colname: r for r in profile(df, columns).collect()}  # one row a column
     dependents = [c for c in columns if c in prof and 0 < prof[c].populated_count < prof[c].row_count]
     if not dependents:
         return df.sparkSession.createDataFrame([], "dependent string, driver string, driver_values string, support bigint, confidence double")
@@ -171,10 +171,10 @@ ORGANISATION_WORDS = r"(?i)\b(scheme|plan|group|council|pension|ltd|limited|comp
 BIRTH_YEARS = (1980, 2010)
 
 
-def personal_data(df: DataFrame, columns: list[str] | None = None, samples: int = 12) -> DataFrame:
+def personal_data(df: DataFrame, columns: list[str] | None = None, samples: int = 12, raw: DataFrame | None = None) -> DataFrame:
     """(colname, category, action) of columns whose first distinct samples look like personal data."""
     columns = columns or df.columns
-    raw = stage(cells(df, columns))
+    raw = stage(cells(df, columns)) if raw is None else raw
     v = raw.where(populated(F.col("value"))).select("colname", strip(F.col("value")).alias("value")).distinct()
     v = v.withColumn("r", F.row_number().over(Window.partitionBy("colname").orderBy("value"))).where(F.col("r") <= samples)
     x = F.col("value")

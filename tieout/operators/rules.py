@@ -58,7 +58,7 @@ def mine(df: DataFrame, columns: list[str] | None = None) -> list[DataRule]:
     columns = columns or df.columns
     raw = stage(cells(df, columns))
     prof = {r.colname: r for r in profile(df, columns, raw).collect()}  # one row a column
-    kind = {r.colname: r.category for r in personal_data(df, columns).collect()}
+    kind = {r.colname: r.category for r in personal_data(df, columns, raw=raw).collect()}
     out = []
     for c in columns:
         if kind.get(c) == "National Insurance Number":
@@ -70,7 +70,7 @@ def mine(df: DataFrame, columns: list[str] | None = None) -> list[DataRule]:
     if len(dates) > 1:
         for r in date_orders(df, dates).collect():
             out.append(DataRule(f"date_order:{r.lo}<={r.hi}", "consistency", (r.lo, r.hi), "minor", f"({_filled(r.lo)}) AND ({_filled(r.hi)})", f"{quoted(r.lo)} > {quoted(r.hi)}"))
-    for r in dependencies(df, columns).where(F.col("confidence") >= LEAST_CONFIDENCE).orderBy("dependent").collect():
+    for r in dependencies(df, columns, prof).where(F.col("confidence") >= LEAST_CONFIDENCE).orderBy("dependent").collect():
         values = ", ".join(map(literal, r.driver_values.split(", ")))
         out.append(DataRule(f"conditional:{r.dependent}", "completeness", (r.dependent, r.driver), "minor", f"trim({quoted(r.driver)}) IN ({values})", f"NOT ({_filled(r.dependent)})"))
     for c in columns:
