@@ -54,6 +54,14 @@ def test_rare_spellings_are_neighbours_of_each_other_and_of_farther_names(spark)
     assert got == {("QUIBLE", "QUIBBLE"), ("SHARD", "SHORD"), ("SHORD", "SNORD"), ("SHARD", "SNORD")}
 
 
+def test_neighbours_are_never_sent_to_the_driver(spark):
+    rng = random.Random(14)
+    tokens = {"".join(rng.choice("ABCDEFGH") for _ in range(8)) for _ in range(300)}
+    bases = names.token_bases(spark.createDataFrame([(t, 1) for t in tokens], "token string, n long"))
+    bases.collect()
+    assert "BroadcastHashJoin" not in bases._jdf.queryExecution().executedPlan().toString()
+
+
 def test_assignment_equals_trying_all():
     from itertools import permutations
 
