@@ -426,6 +426,18 @@ def test_curves_equal_a_plain_fit():
         assert stuffing.curve(rng.sample(f, len(f))) == pytest.approx((slope.slope, res, len(f) / sum(f)), abs=1e-9)
 
 
+@pytest.mark.parametrize("n", [150, 159, 160, 161, 400])
+def test_curves_of_many_words_equal_a_plain_fit(n):
+    import math
+    import statistics
+
+    f = [30, 9, 9, 4, *[2] * (n // 2), *[1] * (n - n // 2 - 4)]
+    x, y = [math.log(i + 1) for i in range(n)], [math.log(c) for c in f]
+    slope = statistics.linear_regression(x, y)
+    res = math.sqrt(sum((b - slope.intercept - slope.slope * a) ** 2 for a, b in zip(x, y)) / n)
+    assert stuffing.curve(f) == pytest.approx((slope.slope, res, n / sum(f)), abs=1e-9)
+
+
 def test_long_and_odd_texts(spark):
     docs = [(1, PROSE * 3000), (2, "x" * 300_000), (3, "a " * 100_000), (4, "。" * 50), (5, "\ue000"), (6, "12 34 " * 30)]
     got = {r.doc_id for r in stuffing.stuffed_pages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}

@@ -69,14 +69,29 @@ _CODE = re.compile(r"^[A-Z]{5,8}:?$")
 _LETTERS = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f\u0900-\u0df2])+")
 _LINES = re.compile(r"\s*\n\s*")
 _UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
-_MOST = 4 * STRETCH
-_LOGS = [0.0, *[log(i) for i in range(1, _MOST)]]
+#: Ranks whose logarithms and their sums are kept; a plan of work only, those beyond are worked out alike.
+_KEPT = 4 * STRETCH
+_LOGS = [0.0, *[log(i) for i in range(1, _KEPT)]]
 _SUM, _SQUARES = [0.0], [0.0]
 for _x in _LOGS[1:]:
     _SUM.append(_SUM[-1] + _x)
     _SQUARES.append(_SQUARES[-1] + _x * _x)
 
 
+def _log(rank: int) -> float:
+    return _LOGS[rank] if rank < _KEPT else log(rank)
+
+
+def _sums(ranks: int) -> tuple[float, float]:
+    """Sums of the logarithms of the ranks from 1 on, and of their squares."""
+    k = min(ranks, _KEPT - 1)
+    s, q = _SUM[k], _SQUARES[k]
+    for i in range(_KEPT, ranks + 1):
+        x = log(i)
+        s, q = s + x, q + x * x
+    return s, q
+
+
 def tokens(text: str) -> list[str]:
     """Parted by blanks; characters one by one where a script has none between words. A line's last token keeps a mark of its end."""
     out = _LINES.sub("\ue000 ", text.strip()).split()
@@ -202,12 +217,10 @@ def languages(docs: DataFrame) -> dict[str, tuple[frozenset[str], frozenset[str]
 def curve(counts: Collection[int]) -> tuple[float, float, float]:
     """Slope, residual and length (ranks a word) of a rank-frequency curve on logarithms; ``counts`` in any order."""
     n = len(counts)
-    if n >= _MOST:
-        return 0.0, 0.0, n / max(sum(counts), 1)
     y = sorted((c for c in counts if c > 1), reverse=True)
     ly = [log(c) for c in y]
-    sx, sxx, sy = _SUM[n], _SQUARES[n], sum(ly)
-    sxy = sum(_LOGS[i] * v for i, v in enumerate(ly, 1))
+    (sx, sxx), sy = _sums(n), sum(ly)
+    sxy = sum(_log(i) * v for i, v in enumerate(ly, 1))
     dxx, dxy, dyy = sxx - sx * sx / max(n, 1), sxy - sx * sy / max(n, 1), sum(v * v for v in ly) - sy * sy / max(n, 1)
     slope = dxy / dxx if dxx > 0 else 0.0
     return slope, sqrt(max(dyy - slope * dxy, 0.0) / max(n, 1)), n / max(sum(counts), 1)
